@@ -3,11 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -15,10 +38,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_report
+
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_report
 
     return shard_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op4_bpe, op6_token_files, op7_secrets, op8_decontamination, op9_licenses, op10_sharding)}
