@@ -1,3 +1,32 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % _LOWER
+
+ORACLES: dict[str, str] = {
+    "op5_ngram_join": rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from w),
+t as (select doc_id, len(s) as n, unnest(s) as g from s),
+links as (select a.doc_id as x, b.doc_id as y from t a join t b on a.g = b.g and a.doc_id <> b.doc_id
+          group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from reach r join links l on r.y = l.x)
+select s.doc_id, len(s.s) as n_shingles, min(r.y) as component_id from s join reach r on s.doc_id = r.x group by s.doc_id, s.s""",
+    "op8_decontamination": rf"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+windows as (select distinct item_id, unnest(case when len(w) = 0 then [] when len(w) < 10 then [array_to_string(w, ' ')]
+              else list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')) end) as g from b),
+sized as (select item_id, g, len(string_split(g, ' ')) as k from windows),
+lengths as (select distinct k from sized),
+places as (select doc_id, k, unnest(range(1, len(w) - k + 2)) as i from d cross join lengths where len(w) >= k),
+parts as (select p.doc_id, p.k, p.i, array_to_string(d.w[p.i:p.i + p.k - 1], ' ') as g from places p join d using (doc_id)),
+found as (select p.doc_id, p.i, p.k, s.item_id from parts p join sized s on p.g = s.g and p.k = s.k),
+hits as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + k)) as j from found) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+          from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (doc_id) left join items using (doc_id)""",
+}

@@ -13,12 +13,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fuzzy_hash import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -50,4 +62,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op6_token_files, op7_secrets, op8_decontamination, op9_licenses, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_bpe, op5_ngram_join, op6_token_files, op7_secrets, op8_decontamination, op9_licenses, op10_sharding)}
