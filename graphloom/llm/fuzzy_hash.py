@@ -17,62 +17,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
+from .rolling import Rolling
 
 MOST = 64
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _PLACE = np.zeros(256, np.int64)
 _PLACE[_LETTERS] = np.arange(64)
 _WINDOW = 7
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-#: The inverse of the odd multiplier modulo 2^64, by Newton's iteration.
-_INVERSE = _ODD
-for _ in range(6):
-    with np.errstate(over="ignore"):
-        _INVERSE = _INVERSE * (np.uint64(2) - _ODD * _INVERSE)
 
 
-class _Powers:
-    """Powers of the multiplier and of its inverse, as long as the longest text so far."""
-
-    def __init__(self):
-        self.n, self.up, self.down = 0, None, None
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 14)
-            self.up = np.cumprod(np.full(self.n, _ODD))
-            self.down = np.cumprod(np.full(self.n, _INVERSE))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def _signature(sums: np.ndarray, ends: np.ndarray, down: np.ndarray) -> bytes:
-    """A letter for each chunk: ``ends`` are the chunks' ends, exclusive; ``sums`` the prefix sums of the hash."""
-    starts = np.concatenate(([0], ends[:-1]))
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return _LETTERS[(_mixed(h) >> np.uint64(58)).astype(np.int64)].tobytes()
+def _signature(rolling: Rolling, ends: np.ndarray) -> str:
+    """A letter for each chunk: ``ends`` are the chunks' ends, exclusive."""
+    h = rolling.of(np.concatenate(([0], ends[:-1])), ends)
+    return _LETTERS[(h >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
 
 def fingerprint(text: bytes) -> str:
     n = len(text)
     if n == 0:
         return "0::"
-    up, down = _POWERS.get(n + 1)
-    raw = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * up[:n])))
-    # the window's hash, freed of its place in the text
+    rolling = Rolling(text)
     tops = np.arange(1, n + 1)
-    lows = np.maximum(tops - _WINDOW, 0)
-    rolling = _mixed((sums[tops] - sums[lows]) * down[lows]) >> np.uint64(32)
-    cut = np.flatnonzero((rolling + np.uint64(1)) % np.uint64(3) == 0)
-    factor = (rolling[cut] + np.uint64(1)) // np.uint64(3)
+    context = rolling.of(np.maximum(tops - _WINDOW, 0), tops) >> np.uint64(32)
+    cut = np.flatnonzero((context + np.uint64(1)) % np.uint64(3) == 0)
+    factor = (context[cut] + np.uint64(1)) // np.uint64(3)
     level_of = np.log2((factor & (~factor + np.uint64(1))).astype(np.float64)).astype(np.int64)
     cut = cut + 1
 
@@ -83,7 +51,7 @@ def fingerprint(text: bytes) -> str:
     level = 0
     while len(at := ends(level)) > MOST:
         level += 1
-    return f"{level}:{_signature(sums, at, down).decode()}:{_signature(sums, ends(level + 1), down).decode()}"
+    return f"{level}:{_signature(rolling, at)}:{_signature(rolling, ends(level + 1))}"
 
 
 def _common(a: list[bytes], b: list[bytes]) -> np.ndarray:

@@ -13,12 +13,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fuzzy_hash import fingerprint_report
 
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -62,4 +75,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_bpe, op5_ngram_join, op6_token_files, op7_secrets, op8_decontamination, op9_licenses, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_fingerprints, op3_toxicity, op4_bpe, op5_ngram_join, op6_token_files, op7_secrets, op8_decontamination, op9_licenses, op10_sharding)}
