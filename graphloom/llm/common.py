@@ -40,3 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``text`` and all other columns as the struct ``others``, whatever their names are."""
+    others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("others"))
+
+
+def unpacked(df: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns that :func:`packed` was given."""
+    place = {id_col: F.col("doc_id").alias(id_col), text_col: F.col("text").alias(text_col)}
+    return df.select(*[place.get(c, F.col("others")[c].alias(c)) for c in columns])

@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import packed
 
 # Bytes outside words become spaces, A-Z become a-z, all other bytes stay.
 _SEPARATORS = {*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)}
@@ -64,12 +67,13 @@ SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                  max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+                  max_benchmark_bytes: int = 256 << 20, keep: bool = False) -> DataFrame:
     """Mark the document words that lie in a benchmark window of ``size`` words.
 
     Null texts have no words. A null item id marks words but is not listed. Repeated items and rows are kept as they
     are. The benchmark is broadcast only after its size was checked: beyond ``max_benchmark_bytes`` the call fails
-    rather than drop windows (scan such a benchmark in several calls).
+    rather than drop windows (scan such a benchmark in several calls). ``keep``: text and others (all other columns)
+    follow. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text")
@@ -81,6 +85,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     key = hashlib.sha256(b"\n".join(patterns)).hexdigest()
     shared = spark.sparkContext.broadcast((patterns, [found[p] for p in patterns]))
 
+    rows = packed(docs, id_col, text_col)
+    rows = rows if keep else rows.drop("others")
+    schema = StructType([*StructType.fromDDL(SCHEMA).fields, *(rows.schema.fields[1:] if keep else ())])
+
     def scan(batches):
         patterns, meaning = shared.value
         automaton = _automaton(key, patterns)
@@ -109,6 +117,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
                 out["spans"].append(_spans(text, hit) if n_hit else [])
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             columns = [pa.array(v, t) for v, t in zip(out.values(), kinds)] or [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns, *batch.columns[1 if keep else 3 :]], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, SCHEMA)
+    return rows.mapInArrow(scan, schema)

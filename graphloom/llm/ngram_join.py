@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import packed, staged, unpacked
 from .components import components
 
 # Odd multipliers of the shingle hash.
@@ -78,7 +78,7 @@ def _sketch(size: int):
                 n.append(len(tokens))
                 sig.append(_signature(tokens))
                 some.append(tokens[tokens & 3 == 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), _lists(some)], names=["doc_id", "n", "sig", "some"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), _lists(some), batch.column(2)], names=["doc_id", "n", "sig", "some", "text_hash"])
 
     return run
 
@@ -229,14 +229,17 @@ def _verify(percent: int):
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document.
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), text_hash and root of every document.
+
+    ``root`` is one value for each component (of documents with words), whatever the ids; ``text_hash`` is xxhash64.
 
     Two documents link if ``100 |A and B| >= percent |A or B|``. A document without words (or without text) links with
     nothing. Rows with null ids take part; a component of null ids alone has a null component_id. Repeated rows stay.
     An empty table gives an empty result. Families of more than ``block_tokens`` tokens are verified in pairs of blocks.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = staged(rows.mapInArrow(_sketch(size), "doc_id long, n long, sig long, some array<long>"), "sketch")
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    sketch = staged(hashed.mapInArrow(_sketch(size), "doc_id long, n long, sig long, some array<long>, text_hash long"), "sketch")
     classes = staged(sketch.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
 
@@ -274,5 +277,19 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block_
 
     roots = classes.join(linked, classes.sig == linked.node, "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = roots.join(smallest, "root").select("sig", "component_id")
-    return sketch.select("doc_id", "n", "sig").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = roots.join(smallest, "root").select("sig", "root", "component_id")
+    return sketch.select("doc_id", "n", "sig", "text_hash").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash", "root")
+
+
+def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without all but one document (the smallest id) of each component.
+
+    Documents without words stay. Rows that repeat an id and a text are one document.
+    """
+    none = -(1 << 63)
+    groups = jaccard_components(docs, size, percent)
+    first = groups.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("first")).select("first.doc_id", "first.text_hash")
+    chosen = first.union(groups.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
+    chosen = chosen.select(F.coalesce("doc_id", F.lit(none)).alias("k"), F.col("text_hash").alias("h"))
+    keyed = packed(docs).withColumns({"k": F.coalesce("doc_id", F.lit(none)), "h": F.xxhash64("text")})
+    return unpacked(keyed.join(chosen, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]), docs.columns)

@@ -15,6 +15,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 #: Stands for "any character here" in the output of :func:`alternatives`.
 _ANY = "\0"
 
@@ -138,24 +140,23 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.aggregate(pieces, nothing, step, lambda acc: acc["out"])
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text and ``found``: the sorted spans (start, k, end, kind), in code points; ``keep`` names columns to carry.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, others (all other columns) and ``found``: the sorted spans (start, k, end, kind), in code points.
 
-    Null texts count as empty and have no spans. Null ids and repeated rows are kept; rows with the same id share their
-    candidate mask, which can only add candidates. An empty table gives an empty result.
+    Null texts have no spans. Null ids and repeated rows are kept; rows with the same id share their candidate mask,
+    which can only add candidates. An empty table gives an empty result.
     """
-    rows = docs.select(*[F.col(c) for c in keep], F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.withColumn("key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)).cast("long")))
+    keyed = packed(docs, id_col, text_col).withColumn("key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)).cast("long")))
     masked = keyed.join(candidates(keyed), "key", "left")
     none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>")
     spans = []
     for r, rule in enumerate(RULES):
         if trigram_query(rule) is None:
-            there = F.col("text").rlike(("(?i)" if rule.ignore_case else "") + rule.regex)
+            there = F.coalesce("text", F.lit("")).rlike(("(?i)" if rule.ignore_case else "") + rule.regex)
         else:
             there = F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0
-        spans.append(F.when(there, matches(F.col("text"), rule)).otherwise(none))
-    return masked.select(*keep, "doc_id", "text", F.array_sort(F.concat(*spans)).alias("found"))
+        spans.append(F.when(there & F.col("text").isNotNull(), matches(F.col("text"), rule)).otherwise(none))
+    return masked.select("doc_id", "text", "others", F.array_sort(F.concat(*spans)).alias("found"))
 
 
 def listed(spans: Column) -> Column:
@@ -177,9 +178,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by ``mark``; overlapping spans become one mark."""
-    columns = docs.columns
-    others = tuple(c for c in columns if c not in ("doc_id", "text"))
-    scanned = scan_secrets(docs.withColumns({"__null": F.col("text").isNull()}), keep=(*others, "__null"))
+    scanned = scan_secrets(docs)
     kind = "struct<at:int,out:string>"
     # spans sorted by start: copy what lies between the end of all earlier spans and this one
     done = F.aggregate(
@@ -190,5 +189,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ).cast(kind),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647))),
     )
-    text = F.when(F.col("__null"), F.lit(None).cast("string")).when(F.size("found") > 0, done).otherwise(F.col("text"))
-    return scanned.withColumn("text", text).select(*columns)
+    return unpacked(scanned.withColumn("text", F.when(F.size("found") > 0, done).otherwise(F.col("text"))), docs.columns)

@@ -18,6 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from .common import packed
 
 DECAY, SPAN = 0.55, 6
 #: The second and third place of a subsequence, after the first.
@@ -270,8 +273,12 @@ class _Numbers(dict):
         return n
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score and predicted of every whole text; null texts count as empty, and score as such."""
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted of every whole text; null texts count as empty, and score as such.
+
+    ``keep``: text and others (all other columns) follow. Null ids and repeated rows stay; an empty table gives an empty
+    result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
@@ -299,8 +306,11 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                     size = 0
             flush()
             scores = machine.documents(np.stack(summaries)) if summaries else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), *batch.columns[1 if keep else 3:]], names=["doc_id", "score", *(["text", "others"] if keep else [])])
+
+    rows = packed(docs, id_col, text_col)
+    rows = rows if keep else rows.drop("others")
+    kept = StructType([*rows.schema.fields[1:]]) if keep else StructType()
+    schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), *kept.fields])
+    scored = rows.mapInArrow(run, schema)
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *kept.names)
