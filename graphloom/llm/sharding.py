@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, releasing
 
 
 def rendezvous(key: Column, n_shards: int, seed: int) -> Column:
@@ -45,13 +45,14 @@ def write_shards(docs: DataFrame, n_shards: int = 8, bucket_bytes: int = 16 << 2
         .repartition(n_shards * per_shard, "shard", "bucket")
     )
     path = path or new_path(spark, "shards")
-    (
+    shuffled = (
         scattered.groupBy("shard", "bucket")
         .agg(F.array_sort(F.collect_list(F.struct("doc_id", "text", "grown_shard"))).alias("rows"))
         .select("shard", "bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("pos", "row"))
         .select("bucket", "pos", "row.doc_id", "row.text", "row.grown_shard", "shard")
-        .write.partitionBy("shard").parquet(path)
     )
+    with releasing(spark):
+        shuffled.write.partitionBy("shard").parquet(path)
     schema = "bucket long, pos int, doc_id long, text string, grown_shard int, shard int"
     return spark.read.schema(schema).parquet(path)
 
