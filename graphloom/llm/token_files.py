@@ -8,15 +8,18 @@ of the documents it wants, and any zstd tool reads the rest.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -109,8 +112,12 @@ class TokenReader:
         return self.frame(k)[place - int(self.first[k])]
 
 
-_SPACE = "\t-\r \x85\xa0  -     　"
+# White space as the tokenizers library cuts at it, and the words of the tokenizer within a stretch.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _STRETCH = re.compile(f"[^{_SPACE}]+")
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Stretches in which lower-casing and composition act on each character alone, and which hold no special token.
+_SIMPLE = re.compile(r"[\x21-;=-\x7e\xa1-\u012f]+")
 
 
 class _Numbers(dict):
@@ -120,9 +127,11 @@ class _Numbers(dict):
 
 
 class WordEncoder:
-    """The tokenizers library over stretches between white space, each different stretch once.
+    """The tokenizers library over the words of ``word_bpe_49k.json``, each different word once.
 
-    Right for tokenizers that cut at white space and look at nothing across it, such as ``word_bpe_49k.json``.
+    That tokenizer cuts at white space and looks at nothing across it. Stretches between white space are told apart
+    first; simple ones are cut into the tokenizer's words, whose different ones the library encodes in long rows; all
+    other stretches it encodes one by one.
     """
 
     def __init__(self, path_or_json: str, most: int = 400_000):
@@ -132,11 +141,21 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(path_or_json) if path_or_json.lstrip().startswith("{") else Tokenizer.from_file(path_or_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
+        self.most, self.keep = most, most // 2
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.numbers, self.flat, self.at = _Numbers(), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.words, self.word_flat, self.word_at = _Numbers(), np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the stretches and words that were met first: the frequent ones are among them."""
+        self.numbers = _Numbers(islice(self.numbers.items(), self.keep))
+        self.at = self.at[: self.keep + 1]
+        self.flat = self.flat[: self.at[-1]].copy()
+        self.words = _Numbers(islice(self.words.items(), self.keep))
+        self.word_at = self.word_at[: self.keep + 1]
+        self.word_flat = self.word_flat[: self.word_at[-1]].copy()
 
     def encode(self, texts: list[str], block: int = 4 << 20):
         waiting, size = [], 0
@@ -149,19 +168,68 @@ class WordEncoder:
         yield from self._flush(waiting)
 
     def _flush(self, waiting: list):
-        new = list(self.numbers)[len(self.at) - 1 :]
+        new = list(islice(self.numbers, len(self.at) - 1, None))
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int64, int(lens.sum()))
-            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(lens)))
-            self.flat = np.concatenate((self.flat, flat))
+            parts, sizes = [], np.ones(len(new), np.int64)
+            for i, stretch in enumerate(new):
+                found = _WORDS.findall(stretch.lower()) if _SIMPLE.fullmatch(stretch) else (stretch,)
+                sizes[i] = len(found)
+                parts.extend(map(self.words.__getitem__, found))
+            self._learn_words()
+            flat, lens = self.word_flat, np.diff(self.word_at)
+            parts = np.array(parts, np.int64)
+            starts, n = self.word_at[parts], lens[parts]
+            self.flat = np.concatenate((self.flat, _take(flat, starts, n)))
+            grown = np.concatenate(([0], np.cumsum(n)))
+            self.at = np.concatenate((self.at, self.at[-1] + grown[np.cumsum(sizes)]))
         for parts in waiting:
-            starts, lens = self.at[parts], self.at[parts + 1] - self.at[parts]
-            ends = np.cumsum(lens)
-            yield self.flat[np.repeat(starts - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            yield _take(self.flat, self.at[parts], self.at[parts + 1] - self.at[parts])
         if len(self.numbers) > self.most:
-            self._clear()
+            self._forget()
+
+    def _learn_words(self) -> None:
+        ids, lens = self._encoded(list(islice(self.words, len(self.word_at) - 1, None)))
+        self.word_flat = np.concatenate((self.word_flat, ids))
+        self.word_at = np.concatenate((self.word_at, self.word_at[-1] + np.cumsum(lens)))
+
+    def _encoded(self, words: list[str], row: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has."""
+        simple = [i for i, w in enumerate(words) if _SIMPLE.fullmatch(w)]
+        odd = [i for i, w in enumerate(words) if not _SIMPLE.fullmatch(w)]
+        lens, ids = np.zeros(len(words), np.int64), [np.zeros(0, np.int64)]
+        rows = [simple[i : i + row] for i in range(0, len(simple), row)]
+        texts = [" ".join([words[i] for i in r]) for r in rows]
+        for r, e in zip(rows, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            found = np.array(e.ids, np.int64)
+            ends = np.flatnonzero(self.ends_word[found]) + 1
+            if len(ends) != len(r):
+                raise ValueError("this tokenizer does not mark the ends of words")
+            lens[r] = np.diff(ends, prepend=0)
+            ids.append(found)
+        for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)):
+            lens[i] = len(e.ids)
+            ids.append(np.array(e.ids, np.int64))
+        flat, order = np.concatenate(ids), np.array(simple + odd, np.int64)
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(lens[order]) - lens[order]
+        return _take(flat, starts, lens), lens
+
+
+def _take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The concatenation of flat[start : start + len]."""
+    ends = np.cumsum(lens)
+    return flat[np.repeat(starts - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(source: str) -> WordEncoder:
+    """One for each Python worker; what it has met serves the worker's next tasks."""
+    if source not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[source] = WordEncoder(source)
+    return _ENCODERS[source]
 
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
@@ -181,7 +249,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fol
     shared = spark.sparkContext.broadcast(source)
 
     def write(batches):
-        encoder = WordEncoder(shared.value)
+        encoder = _encoder(shared.value)
         dtype = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         fs, root = _open_folder(folder)
         fs.create_dir(root, recursive=True)
