@@ -21,8 +21,7 @@ def unescape(text: Column) -> Column:
         out = p
         for letter, char in _SIMPLE.items():
             out = F.when(p == F.lit("\\" + letter), F.lit(char)).otherwise(out)
-        code = F.conv(F.substring(p, 3, 8), 16, 10).cast("int")
-        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        wide = F.decode(F.unhex(F.lpad(F.substring(p, 3, 8), 8, "0")), "UTF-32")
         return F.when(p.rlike(r"^\\[uU]"), wide).otherwise(out)
 
     pieces = F.regexp_extract_all(text, F.lit(piece), F.lit(0))
