@@ -12,6 +12,7 @@ the landmarks, and every distinct word of a batch is scored once.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -177,54 +178,66 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: in
 
 
 def fit(texts: list[str], labels: list[int], landmarks: int = 320, rounds: int = 5, seed: int = 7) -> Machine:
-    """Train on whole labelled texts."""
-    rng = np.random.default_rng(seed)
+    """Train on whole labelled texts: the words first, then the document layer on what they say."""
     number: dict[str, int] = {}
     docs = [np.array(sorted({number.setdefault(u, len(number)) for u in units(t)}), np.int64) for t in texts]
     words, y = list(number), np.array(labels)
-    if not words or y.min() == y.max():
+    if not words or len(set(labels)) < 2:
         base = float(y.mean()) if len(y) else 0.0
         m = Machine.fold(np.zeros(1, np.uint64), np.zeros(1, np.float32), 0.0)
         n = TOP + 4
         m.center, m.scale, m.final = np.zeros(n), np.ones(n), np.append(np.zeros(n), np.log((base + 1e-3) / (1 - base + 1e-3)))
         return m
+    machine = _fit_words(words, docs, y, landmarks, rounds, seed)
+    values = machine.words(words)
+    summary = np.stack([summarise(values[d]) for d in docs])
+    machine.center, machine.scale = summary.mean(0), summary.std(0) + 1e-6
+    machine.final = _fit_logistic((summary - machine.center) / machine.scale, y.astype(float))
+    return machine
+
+
+def _fit_words(words: list[str], docs: list[np.ndarray], y: np.ndarray, landmarks: int, rounds: int, seed: int) -> Machine:
+    """The word machine, from documents as arrays of places in ``words``."""
+    rng = np.random.default_rng(seed)
     # first guess: how much likelier a word's subsequences are in toxic documents than in clean ones
     doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     flat = np.concatenate(docs)
-    values = np.zeros(len(words))
-    known, counts = None, None
-    df = np.zeros((2, 0))
-    keys_of: list[tuple] = []
-    for start in range(0, len(words), 20_000):
-        w, key, value = _features(words[start : start + 20_000])
-        keys_of.append((w + start, key, value))
-    all_keys, inverse = np.unique(np.concatenate([k[1] for k in keys_of]), return_inverse=True)
-    of_word = np.concatenate([k[0] for k in keys_of])
-    weight = np.concatenate([k[2] for k in keys_of])
-    del keys_of, known, counts, df
     n_docs = np.array([(y == 0).sum(), (y == 1).sum()], float)
     in_class = np.stack([np.bincount(flat, (y[doc] == c).astype(float), len(words)) for c in (0, 1)])
-    seen = np.stack([np.bincount(inverse, in_class[c][of_word] * weight, len(all_keys)) / n_docs[c] for c in (0, 1)])
+    del doc, flat
+    blocks = range(0, len(words), 5_000)
+    slot = lambda key: ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)).astype(np.int64)
+    seen = np.zeros((2, 1 << 23), np.float32)
+    for start in blocks:
+        w, key, value = _features(words[start : start + 5_000])
+        for c in (0, 1):
+            seen[c] += np.bincount(slot(key), in_class[c][w + start] * value, 1 << 23) / n_docs[c]
     odds = np.log((seen[1] + 1e-3) / (seen[0] + 1e-3))
-    values = np.bincount(of_word, odds[inverse] * weight, len(words))
+    values = np.zeros(len(words))
+    for start in blocks:
+        w, key, value = _features(words[start : start + 5_000])
+        part = np.bincount(w, odds[slot(key)] * value)
+        values[start : start + len(part)] = part
     machine = None
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    del inverse, of_word, weight
     for r in range(rounds):
-        positive, share = [], 1 if r < 2 else 3
+        positive = []
         for d in toxic:
             ids = docs[d]
             if len(ids):
-                best = ids[np.argsort(-values[ids])[:share]]
-                positive.extend(best[:1] if share == 1 else best[values[best] > 0.3])
+                best = ids[np.argsort(-values[ids])[:5]]
+                positive.extend(best[:3] if r == 0 else best[:1] if values[best[0]] < 0 else best[values[best] > 0])
         positive = np.array(positive, np.int64)
         hard = [docs[d][np.argsort(-values[docs[d]])[:10]] for d in clean if len(docs[d])]
-        inside = np.unique(np.concatenate(hard)) if hard else np.zeros(0, np.int64)
-        clean_words = np.flatnonzero(in_class[0] > 0)
-        negative = np.union1d(rng.choice(inside, min(len(inside), 12_000), replace=False), rng.choice(clean_words, min(len(clean_words), 8_000), replace=False))
+        inside, often = np.unique(np.concatenate([*hard, np.zeros(0, np.int64)]), return_counts=True)
+        best = np.argsort(-often, kind="stable")[:12_000]
+        inside, often = inside[best], often[best]
+        clean_words = np.setdiff1d(np.flatnonzero(in_class[0] > 0), inside)
+        more = rng.choice(clean_words, min(len(clean_words), 8_000), replace=False)
+        negative, weight = np.concatenate((inside, more)), np.concatenate((often, np.full(len(more), 0.5)))
         distinct, times = np.unique(positive, return_counts=True)
         chance = times / times.sum()
-        marks = np.concatenate((rng.choice(distinct, min(len(distinct), landmarks // 2), replace=False, p=chance), rng.choice(negative, min(len(negative), landmarks // 2), replace=False)))
+        marks = np.concatenate((rng.choice(distinct, min(len(distinct), landmarks // 2), replace=False, p=chance), rng.choice(negative, min(len(negative), landmarks // 2), replace=False, p=weight / weight.sum())))
         names = [words[i] for i in marks]
         w, key, value = _features(names)
         keys, at = np.unique(key, return_inverse=True)
@@ -237,13 +250,10 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 320, rounds: int =
         used = np.concatenate((distinct, negative))
         x = (_kernel([words[i] for i in used], keys, rows) @ whiten.astype(np.float32))
         target = np.concatenate((np.ones(len(distinct)), -np.ones(len(negative))))
-        cost = np.concatenate((times / times.sum(), np.full(len(negative), 2.0 / len(negative)))) * 4000
+        cost = np.concatenate((times / times.sum(), 2.0 * weight / weight.sum())) * 300
         coefficient, bias = _fit_svm(x, target, cost)
         machine = Machine.fold(keys, (rows @ (whiten @ coefficient)).astype(np.float32), bias)
         values = machine.words(words)
-    summary = np.stack([summarise(values[d]) for d in docs])
-    machine.center, machine.scale = summary.mean(0), summary.std(0) + 1e-6
-    machine.final = _fit_logistic((summary - machine.center) / machine.scale, y.astype(float))
     return machine
 
 
@@ -262,9 +272,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Machine:
     for toxic, share in ((1, max_rows // 3), (0, max_rows - max_rows // 3)):
         part = marked.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share)
         chosen = part if chosen is None else chosen.union(part)
-    # at most max_rows ids
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").collect()
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    # at most max_rows ids; the sample is fitted in one task, whose memory that bounds
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+
+    def fitted(batches):
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            marks += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, marks))], pa.binary())], names=["machine"])
+
+    one = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "toxic")
+    found = one.mapInArrow(fitted, "machine binary").first()
+    return pickle.loads(found["machine"]) if found else fit([], [])
 
 
 class _Numbers(dict):
