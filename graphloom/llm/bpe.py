@@ -15,6 +15,7 @@ import mmap
 import re
 from array import array
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, staged
 
 # White space in the tokenizer's pattern, and that pattern.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -237,14 +238,17 @@ class _Numbers(dict):
 class Encoder:
     """Encodes texts, remembering at most about ``most`` different stretches at a time."""
 
-    def __init__(self, bpe: Bpe, lexicon: Lexicon, most: int = 200_000):
-        self.bpe, self.lexicon, self.most = bpe, lexicon, most
-        self._clear()
-
-    def _clear(self) -> None:
+    def __init__(self, bpe: Bpe, lexicon: Lexicon, most: int = 400_000):
+        self.bpe, self.lexicon, self.most, self.keep = bpe, lexicon, most, most // 2
         self.numbers = _Numbers()
         self.flat, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        """Keep the stretches that were met first: the frequent ones are among them."""
+        self.numbers = _Numbers(islice(self.numbers.items(), self.keep))
+        self.at = self.at[: self.keep + 1]
+        self.flat = self.flat[: self.at[-1]].copy()
+
     def _word_ids(self, words: list[bytes]) -> list[np.ndarray]:
         numbers = self.lexicon.find(words)
         missing = np.flatnonzero(numbers < 0).tolist()
@@ -257,7 +261,7 @@ class Encoder:
 
     def _learn(self) -> None:
         """Ids of the stretches that are new."""
-        new = list(self.numbers)[len(self.at) - 1 :]
+        new = list(islice(self.numbers, len(self.at) - 1, None))
         if not new:
             return
         words, parts, sizes = _Numbers(), array("q"), []
@@ -293,7 +297,7 @@ class Encoder:
             done = [np.array([-1 - p]) if isinstance(p, int) else _take(self.flat, self.at[p], self.at[p + 1] - self.at[p]) for p in parts]
             yield done[0] if len(done) == 1 else np.concatenate([*done, np.zeros(0, np.int64)])
         if len(self.numbers) > self.most:
-            self._clear()
+            self._forget()
 
 
 def _take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -327,11 +331,26 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, size: int, text_col: str = "text") -> list[bytes]:
+    """The words that occur most often, at most ``size``, sorted; words that occur once are left out.
+
+    A histogram of the counts (a few hundred rows) gives the least count to take, so that no task sends more to the
+    driver than its share of the answer.
+    """
+    counts = staged(count_words(docs, text_col).where("n > 1 and length(word) <= 64").withColumn("step", F.floor(F.log2("n") * 16)), "word-counts")
+    least, total = 1 << 30, 0
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > size:
+            break
+        least = r["step"]
+    return sorted(bytes(r["word"]) for r in counts.where(F.col("step") >= least).select("word").collect())
+
+
 def share_lexicon(docs: DataFrame, bpe: Bpe, size: int, text_col: str = "text") -> str:
     """Compile the ``size`` most frequent words and hand the file to all executors; its name."""
     spark = docs.sparkSession
-    top = count_words(docs, text_col).where("length(word) <= 64").orderBy(F.desc("n"), "word").limit(size).collect()
-    words = sorted(bytes(r["word"]) for r in top)
+    words = frequent_words(docs, size, text_col)
     data = Lexicon.compile(words, bpe.merge_all(words)).to_bytes()
     path = new_path(spark, "lexicon")
     jvm = spark.sparkContext._jvm
@@ -343,14 +362,15 @@ def share_lexicon(docs: DataFrame, bpe: Bpe, size: int, text_col: str = "text")
     return path.rpartition("/")[2]
 
 
-_LOADED: dict[str, tuple[Bpe, Lexicon]] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _loaded(name: str, source: str) -> tuple[Bpe, Lexicon]:
-    if name not in _LOADED:
-        _LOADED.clear()
-        _LOADED[name] = (Bpe(source), Lexicon.mapped(SparkFiles.get(name)))
-    return _LOADED[name]
+def _encoder(name: str, source: str) -> Encoder:
+    """One for each Python worker; what it has met serves the worker's next tasks."""
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(Bpe(source), Lexicon.mapped(SparkFiles.get(name)))
+    return _ENCODERS[name]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_size: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -368,8 +388,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_size: int = 1
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
 
     def encode(batches):
-        bpe, lexicon = _loaded(name, shared.value)
-        encoder = Encoder(bpe, lexicon)
+        encoder = _encoder(name, shared.value)
+        bpe = encoder.bpe
         for batch in batches:
             n, first, second, kept, decoded = [], [], [], [], []
             for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
