@@ -233,7 +233,7 @@ def _apply_digest(batches):
         yield batch.select(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, block: int = 1 << 20, most: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, block: int = 1 << 20, most: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """Remove every byte that lies in a string of ``length`` bytes that starts anywhere else, too.
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_kept`` the kept bytes. Strings are judged
