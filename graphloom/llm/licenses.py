@@ -111,7 +111,7 @@ def license_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def license_report(docs: DataFrame) -> DataFrame:
     """One row for each document: the base places and labels, all labels and a score.
 
-    The score is 1 - exp(-idf of all places / 10), 0 without a place. Null texts count as empty; null ids and repeated
+    The score is 1 - exp(-idf of all places / 10) to six places, 0 without a place. Null texts count as empty; null ids and repeated
     rows are kept; an empty table gives an empty result.
     """
     rows, places = license_places(docs)
@@ -128,5 +128,5 @@ def license_report(docs: DataFrame) -> DataFrame:
     return rows.join(summed, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
-        (1 - F.exp(-F.coalesce("idf", F.lit(0.0)) / 10)).alias("score"),
+        F.round(1 - F.exp(-F.coalesce("idf", F.lit(0.0)) / 10), 6).alias("score"),
     )

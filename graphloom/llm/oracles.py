@@ -1,5 +1,8 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+from .licenses import COMMON, TEMPLATES
+from .secrets import MORE_RULES
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % _LOWER
 
@@ -30,3 +33,50 @@ select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hits using (doc_id) left join items using (doc_id)""",
 }
+
+
+def _secrets() -> str:
+    """Positions from the pieces between the matches and the matches themselves."""
+    # as the contract states them: whole matches, short ones dropped afterwards
+    rules = [
+        ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+        ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16),
+        *[(r.kind, r.regex, 0, 0) for r in MORE_RULES],
+    ]
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = " union all ".join(
+        f"select doc_id, {k} as k, {text(kind)} as kind, {least} as least, regexp_extract_all(t, {text(p)}, 0) as m, regexp_extract_all(t, {text(p)}, {group}) as g, regexp_split_to_array(t, {text(p)}) as s from d"
+        for k, (kind, p, group, least) in enumerate(rules)
+    )
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents), r as ({parts}),
+u as (select *, unnest(range(1, len(m) + 1)) as i from r),
+x as (select doc_id, k, kind, length(g[i]) >= least as good, length(m[i]) as n,
+      list_sum(list_transform(s[1:i], lambda q: length(q))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda q: length(q))), 0) as start from u),
+y as (select doc_id, k, start, kind || ':' || start::bigint || ':' || (start + n)::bigint as span from x where good),
+a as (select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+      string_agg(span, ',' order by start, k) filter (k < 3) as base, string_agg(span, ',' order by start, k) as spans from y group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (doc_id)"""
+
+
+def _licenses() -> str:
+    phrases = ", ".join(f"('{t.label}', {str(t.base).lower()}, {t.phrase.split()!r})" for t in TEMPLATES)
+    common = ", ".join(f"'{w}'" for w in COMMON)
+    return f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+t as (select * from (values {phrases}) v(label, base, p)),
+v as (select distinct unnest(p) as word from t),
+df as (select word, count(*) as n from (select distinct doc_id, unnest(w) as word from d) join v using (word) group by word),
+idf as (select word, case when word in ({common}) then 0 else ln(((select count(*) from d) + 1) / (coalesce(n, 0) + 1)) + 1 end as idf from v left join df using (word)),
+weight as (select label, sum(idf) as idf from (select label, unnest(p) as word from t) join idf using (word) group by label),
+cell as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+near as (select * from cell where w[i] in (select p[1] from t)),
+place as (select doc_id, label, base, i - 1 as start, idf from near join t on w[i:i + len(p) - 1] = p join weight using (label)),
+a as (select doc_id, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
+      string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, sum(idf) as idf from place group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+       coalesce(labels, '') as labels, round(1 - exp(-coalesce(idf, 0) / 10), 6) as score from d left join a using (doc_id)"""
+
+
+ORACLES |= {"op7_secrets": _secrets(), "op9_licenses": _licenses()}

@@ -31,7 +31,8 @@ def test_against_sql(spark, name):
     for t in os.listdir(SF):
         c.sql(f"create view {t.split('.')[0]} as select * from '{SF}/{t}'")
     got, want = QUERIES[name](spark, SF).toPandas(), c.sql(ORACLES[name]).df()
-    rows = lambda d: sorted(map(str, d[sorted(d.columns)].itertuples(index=False, name=None)))
+    plain = lambda x: "-" if x is None or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    rows = lambda d: sorted(str([plain(x) for x in r]) for r in d[sorted(d.columns)].astype(object).fillna("-").itertuples(index=False, name=None))
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
