@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.terms import RDF_TYPE, XSD
+from ..shipping import ship
 
 _RDF = RDF_TYPE.removesuffix("type")
 _TOKEN = re.compile(
@@ -144,6 +145,7 @@ _SCHEMA = ", ".join(f"{c}{f} {'tinyint' if f == 'kind' else 'string'}" for c in
 
 def read(spark: SparkSession, path: str, scope: int = 1, on_invalid: str = "drop") -> DataFrame:
     """s, p, o of the Turtle files at ``path``. A file that is no Turtle fails the query."""
+    ship(spark)
 
     def run(batches):
         for batch in batches:
