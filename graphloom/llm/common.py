@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import new_path, releasing, shared_dir, staged
+from ..shipping import ship
 
 __all__ = ["ascii_lower", "new_path", "packed", "releasing", "shared_dir", "staged", "table", "unpacked"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +23,7 @@ def ascii_lower(text: Column) -> Column:
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``text`` and all other columns as the struct ``others``, whatever their names are."""
+    ship(docs.sparkSession)
     others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("others"))
 
