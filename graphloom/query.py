@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from .functions.terms import Const, iri_const
 from .plans.algebra import ANY, Aggregate, Bgp, Filter, GroupCount, Limit, Op, Path, Pattern, Project, Sort, Unique, Var, summary, var
 from .plans.lower import lower
-from .plans.order import ordered
+from .plans.order import is_connected, ordered, starts_unbound
 
 
 def node(x):
@@ -37,8 +37,14 @@ class Query:
     def _with(self, op: Op) -> Query:
         return Query(self.source, (*self.ops, op))
 
-    def bgp(self, *patterns) -> Query:
-        return self._with(Bgp(tuple(p if isinstance(p, Pattern) else pattern(*p) for p in patterns)))
+    def bgp(self, *patterns, strict: bool = False) -> Query:
+        """``strict`` refuses cartesian products, and more than two patterns that begin with an all-variable one."""
+        made = tuple(p if isinstance(p, Pattern) else pattern(*p) for p in patterns)
+        if strict and not is_connected(made):
+            raise ValueError("the patterns make a cartesian product")
+        if strict and starts_unbound(made):
+            raise ValueError("the first of more than two patterns has no constant")
+        return self._with(Bgp(made))
 
     def path(self, s, p, o, kind: str = "+") -> Query:
         if kind not in "+*":

@@ -75,6 +75,17 @@ class TripleStore:
         """The triples that fit; None fits all, a list any of its terms."""
         return matching(self.source, pattern(s, p, o))
 
+    def match_ids(self, s: int | None = None, p: int | None = None, o: int | None = None) -> DataFrame:
+        """The triples whose terms have these ids; None fits all."""
+        df = self.triples()
+        for c, term_id in zip("spo", (s, p, o)):
+            df = df if term_id is None else df.where(F.col(c)["id"] == term_id)
+        return df
+
+    def term(self, term_id: int) -> DataFrame:
+        """The term with this id, if it is in the store. (The id of a term is computed: ``Const.id()``.)"""
+        return self.terms().where(F.col("id") == term_id).select("t")
+
     def count(self, s=None, p=None, o=None) -> int:
         return self.match(s, p, o).count()
 

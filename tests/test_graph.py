@@ -340,6 +340,17 @@ def test_query_is_immutable(small):
         q.project("s").to_df()
 
 
+def test_ids_and_strict(small):
+    row = small.match(EX + "x", None, None).first()
+    assert small.match_ids(o=row["o"]["id"]).count() == 1 and small.match_ids(s=row["o"]["id"]).count() == 4
+    assert small.term(row["p"]["id"]).first()["t"]["lex"] == EX + "y" and small.term(5).count() == 0
+    with pytest.raises(ValueError, match="cartesian"):
+        small.query().bgp(("?a", EX + "p", "?b"), ("?c", EX + "p", "?d"), strict=True)
+    with pytest.raises(ValueError, match="no constant"):
+        small.query().bgp(("?a", "?p", "?b"), ("?b", EX + "p", "?c"), ("?c", EX + "p", "?d"), strict=True)
+    assert small.query().bgp((EX + "x", "?p", "?o"), ("?o", EX + "p", "?e"), strict=True).count() == 4
+
+
 def test_terms_are_told_apart(spark):
     row = spark.range(1).select(iri(F.lit("x")).alias("a"), blank(F.lit("x")).alias("b")).first()
     assert row["a"]["id"] != row["b"]["id"]
