@@ -77,7 +77,7 @@ def rare_words() -> list[str]:
 
 
 def license_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, places): rows has row, doc_id, n_words, max_idf for each document; places has row, label, base, start, idf.
+    """(rows, places): rows has row, doc_id and n_words of each document; places has row, label, base, start and idf.
 
     A place counts once for each template and start. The postings are looked up by the anchor of each template, its
     word of highest inverse document frequency over all documents.
@@ -111,8 +111,8 @@ def license_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def license_report(docs: DataFrame) -> DataFrame:
     """One row for each document: the base places and labels, all labels and a score.
 
-    The score is 1 - exp(-idf of all places / 10) to six places, 0 without a place. Null texts count as empty; null ids and repeated
-    rows are kept; an empty table gives an empty result.
+    The score is 1 - exp(-idf of all places / 10), rounded to six digits, 0 without a place. Null texts count as empty;
+    null ids and repeated rows are kept; an empty table gives an empty result.
     """
     rows, places = license_places(docs)
     base = F.col("base")

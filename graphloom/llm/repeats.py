@@ -219,7 +219,7 @@ def _apply(batches):
                 if a > last:
                     n_spans += 1
                     parts.append(text[at:a])
-                removed += max(0, b - max(a, last if last > a else a))
+                removed += max(0, b - max(a, last))
                 last = at = max(last, b)
             parts.append(text[at:])
             kept = b"".join(parts)
