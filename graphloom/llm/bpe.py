@@ -238,7 +238,7 @@ class _Numbers(dict):
 class Encoder:
     """Encodes texts, remembering at most about ``most`` different stretches at a time."""
 
-    def __init__(self, bpe: Bpe, lexicon: Lexicon, most: int = 400_000):
+    def __init__(self, bpe: Bpe, lexicon: Lexicon, most: int = 250_000):
         self.bpe, self.lexicon, self.most, self.keep = bpe, lexicon, most, most // 2
         self.numbers = _Numbers()
         self.flat, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)

@@ -134,7 +134,7 @@ class WordEncoder:
     other stretches it encodes one by one.
     """
 
-    def __init__(self, path_or_json: str, most: int = 400_000):
+    def __init__(self, path_or_json: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -303,7 +304,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         machine = shared.value
-        numbers, values = _Numbers(), np.zeros(0)
+        numbers, values, most = _Numbers(), np.zeros(0), 150_000
 
         for batch in batches:
             texts, summaries = batch.column(1).to_pylist(), []
@@ -311,17 +312,19 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
             def flush():
                 nonlocal values
-                values = np.concatenate((values, machine.words(list(numbers)[len(values) :])))
+                values = np.concatenate((values, machine.words(list(islice(numbers, len(values), None)))))
                 summaries.extend(summarise(values[ids]) for ids in waiting)
                 waiting.clear()
-                if len(numbers) > 300_000:
+                if len(numbers) > most:  # keep the words that were met first: the frequent ones are among them
+                    kept = list(islice(numbers.items(), most // 2))
                     numbers.clear()
-                    values = np.zeros(0)
+                    numbers.update(kept)
+                    values = values[: most // 2].copy()
 
             for text in texts:
                 waiting.append(np.fromiter({numbers[u] for u in units(text or "")}, np.int64))
                 size += len(text or "")
-                if size > 4 << 20 or len(numbers) > 300_000:
+                if size > 4 << 20 or len(numbers) > most:
                     flush()
                     size = 0
             flush()
