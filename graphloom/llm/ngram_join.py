@@ -72,7 +72,7 @@ def _sketch(size: int):
         for batch in batches:
             n, sig, some = [], [], []
             for text in _texts(batch, 1):
-                if len(hashes) > 500_000:
+                if len(hashes) > 200_000:
                     hashes.clear()
                 tokens = shingles(text, hashes, size)
                 n.append(len(tokens))
@@ -91,7 +91,7 @@ def _sets(size: int):
         for batch in batches:
             sig, sets = [], []
             for want, text in zip(batch.column(0).to_pylist(), _texts(batch, 1)):
-                if len(hashes) > 500_000:
+                if len(hashes) > 200_000:
                     hashes.clear()
                 tokens = shingles(text, hashes, size)
                 if _signature(tokens) == want:
@@ -108,10 +108,13 @@ def least_overlap(n, percent: int):
 
 
 def _chain(percent: int):
-    """Links neighbours in (token, n, sig) order; also yields the ends of the partition, for the links across."""
+    """In (token, n, sig) order, links each run of one token and compatible neighbours to the first of the run.
+
+    Also yields the ends of the partition, for the links across.
+    """
 
     def run(batches):
-        pid, last, first = TaskContext.get().partitionId(), None, True
+        pid, last, leader, first = TaskContext.get().partitionId(), None, None, True
         names = ["u", "v", "token", "n", "sig", "place"]
         kinds = [pa.int64()] * 6
 
@@ -127,12 +130,15 @@ def _chain(percent: int):
                 first = False
             if last is not None:
                 token, n, sig = (np.concatenate(([a], b)) for a, b in zip(last, (token, n, sig)))
-            pair = (token[1:] == token[:-1]) & (n[1:] * percent <= n[:-1] * 100)
-            nulls = pa.nulls(int(pair.sum()), pa.int64())
-            edges = np.unique(np.stack((sig[:-1][pair], sig[1:][pair]), 1), axis=0)
+            begins = np.concatenate(([True], (token[1:] != token[:-1]) | (n[1:] * percent > n[:-1] * 100)))
+            run = np.cumsum(begins) - 1
+            leaders = sig[begins]
+            if last is not None:
+                leaders[0] = leader
+            edges = np.unique(np.stack((leaders[run], sig), 1)[~begins], axis=0)
             nulls = pa.nulls(len(edges), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), nulls, nulls, nulls, nulls], names=names)
-            last = (token[-1], n[-1], sig[-1])
+            last, leader = (token[-1], n[-1], sig[-1]), leaders[-1]
         if last is not None:
             yield end(last, 1)
 
@@ -268,12 +274,14 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block_
 
     # inside families
     members = family.join(sets, family.node == sets.sig).select(F.col("root").alias("family"), "sig", "tokens")
-    blocks = members.groupBy("family").agg(F.ceil(F.sum(F.size("tokens")) / block_tokens).cast("int").alias("blocks"))
+    blocks = staged(members.groupBy("family").agg(F.ceil(F.sum(F.size("tokens")) / block_tokens).cast("int").alias("blocks")), "blocks")
     mine = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     paired = members.join(blocks, "family").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("family", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "sig", "tokens")
     links = paired.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(_verify(percent), "u long, v long")
-    linked = components(links)
+    # inside a block, links already lead to one root; only blocks of one family have to be joined
+    single = (blocks.agg(F.max("blocks").alias("b")).first()["b"] or 1) == 1
+    linked = staged(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "links") if single else components(links)
 
     roots = classes.join(linked, classes.sig == linked.node, "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
