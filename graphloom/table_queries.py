@@ -152,6 +152,15 @@ def filter_sameterm(g):
     return q.filter("x", "sameterm", Var("y")).to_df().select(lex("a"), lex("b"))
 
 
+@query("select c.c_name as a, d.c_name as b from customer c join customer d on c.c_nationkey = d.c_nationkey where c.c_custkey = d.c_custkey")
+def filter_sameterm_all(g):
+    """:func:`filter_sameterm` over the whole customer table."""
+    q = g.query().bgp(("?x", P + "c_nationkey", "?n"), ("?y", P + "c_nationkey", "?n"), ("?x", P + "c_name", "?a"), ("?y", P + "c_name", "?b"))
+    from .plans.algebra import Var
+
+    return q.filter("x", "sameterm", Var("y")).to_df().select(lex("a"), lex("b"))
+
+
 @query("select p_name as name from part where contains(p_name, 'widget')")
 def filter_contains(g):
     return g.query().bgp((None, P + "p_name", "?name")).filter("name", "contains", "widget").to_df().select(lex("name"))

@@ -41,3 +41,10 @@ def test_star_is_one_scan(spark):
 def test_constant_reaches_the_scan(spark):
     plan = table_queries.QUERIES["match_object"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_nationkey,7)" in plan
+
+
+def test_sameterm_takes_every_customer(spark):
+    df = table_queries.QUERIES["filter_sameterm_all"](spark, SF)
+    assert df.count() == spark.read.parquet(f"{SF}/customer.parquet").count() > 20
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
