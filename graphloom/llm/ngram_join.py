@@ -12,6 +12,8 @@ Sets are kept as 64-bit hashes of their shingles; documents with equal sets are
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,10 +25,16 @@ from pyspark.sql import functions as F
 from .common import packed, staged, unpacked
 from .components import components
 
-# Odd multipliers of the shingle hash.
+# Odd multipliers of the shingle hash, for the first four positions.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+@cache
+def _multipliers(size: int) -> np.ndarray:
+    """An odd multiplier for each position, no two alike: words that change places change the sum."""
+    return np.array([int(_MIX[k % 4]) * pow(0xFF51AFD7ED558CCD, k // 4, 1 << 64) % (1 << 64) for k in range(size)], np.uint64)
+
+
 class _WordHashes(dict):
     def __missing__(self, word):
         self[word] = h = xxhash.xxh3_64_intdigest(word)
@@ -38,9 +46,9 @@ def shingles(text: bytes, hashes: dict, size: int = 4) -> np.ndarray:
     words = text.lower().split()  # both act on ASCII alone for bytes
     h = np.array(list(map(hashes.__getitem__, words)), np.uint64)
     if len(h) >= size:
-        out = np.zeros(len(h) - size + 1, np.uint64)
+        out, mix = np.zeros(len(h) - size + 1, np.uint64), _multipliers(size)
         for k in range(size):
-            out += (h[k : len(h) - size + 1 + k] ^ np.uint64(k)) * _MIX[k % 4]
+            out += (h[k : len(h) - size + 1 + k] ^ np.uint64(k)) * mix[k]
     elif len(h):
         out = np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64)
     else:

@@ -261,6 +261,17 @@ def test_ngram_join(spark, seed, size, percent, block):
     assert rows_of(out, "doc_id", "n_shingles", "component_id") == sorted(plain_components(rows, size, percent), key=key)
 
 
+@pytest.mark.parametrize("size", [5, 6, 9])
+def test_ngram_join_tells_exchanged_words_apart(spark, size):
+    rows = []
+    for k in range(20):
+        words = [f"x{k}y{i}" for i in range(size)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([words[-1], *words[1:-1], words[0]]))]
+    out = ngram_join.jaccard_components(docs(spark, rows), size, 80)
+    assert rows_of(out, "doc_id", "n_shingles", "component_id") == [(i, 1, i) for i in range(40)] == sorted(plain_components(rows, size, 80))
+    assert ngram_join.keep_one_each(docs(spark, rows), size, 80).count() == 40
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.jaccard_components(docs(spark, [])).count() == 0
     assert rows_of(ngram_join.jaccard_components(docs(spark, [(1, None), (2, "")])), "doc_id", "n_shingles", "component_id") == [(1, 0, 1), (2, 0, 2)]
