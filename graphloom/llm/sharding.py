@@ -73,4 +73,4 @@ def shard_report(docs: DataFrame, n_shards: int = 8, bucket_bytes: int = 16 << 2
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         "shard", "bucket", "pos", "grown_shard",
     )
-    return with_slots(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("int").alias("slot"), "grown_shard")
+    return with_slots(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import licenses, secrets, sharding
 
@@ -113,6 +114,12 @@ def test_shard_files_are_shuffled_and_whole(spark, tmp_path):
     assert moved > 100  # a random order moves records by a third of the length on average
 
 
+def test_slots_are_long(spark):
+    assert dict(sharding.shard_report(docs(spark, [(1, "a")])).dtypes)["slot"] == "bigint"
+    far = spark.createDataFrame([(0, 0, 5)], "shard int, bucket long, pos int").withColumn("pos", F.col("pos") + F.lit(1 << 32))
+    assert sharding.with_slots(far).first()["slot"] == (1 << 32) + 5
+
+
 @pytest.mark.parametrize("report", [secrets.secret_report, licenses.license_report, sharding.shard_report])
 def test_native_plans_hold_no_python(spark, report):
     plan = report(docs(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
