@@ -27,6 +27,8 @@ from .common import packed
 DECAY, SPAN = 0.55, 6
 #: The second and third place of a subsequence, after the first.
 _GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
+#: Marks an empty slot of the table; keys have 63 bits.
+_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WEIGHT = np.array([DECAY ** (b - 2) for _, b in _GAPS], np.float32)
 
 
@@ -65,7 +67,7 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    """Subsequence weights in an open hash table without collisions, and the document layer."""
+    """Subsequence weights in an open hash table with linear probing, and the document layer."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -77,17 +79,18 @@ class Machine:
 
     @staticmethod
     def fold(keys: np.ndarray, weights: np.ndarray, bias: float) -> Machine:
-        rng, bits = np.random.default_rng(1), max(12, int(np.ceil(np.log2(len(keys) + 1))) + 4)
-        while True:  # a table twice as large now and then, until every key has a slot of its own
-            for _ in range(40):
-                m = int(rng.integers(1 << 62)) | 1
-                slot = ((keys * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64)
-                if len(np.unique(slot)) == len(slot):
-                    table, values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
-                    table[slot], values[slot] = keys, weights
-                    return Machine(table, values, m, bias)
-            keep = np.argsort(-np.abs(weights))[: max(1, int(len(keys) * 0.98))] if bits >= 24 else slice(None)
-            keys, weights, bits = keys[keep], weights[keep], min(bits + 1, 24)
+        bits = max(12, int(np.ceil(np.log2(len(keys) + 1))) + 2)
+        m = int(np.random.default_rng(1).integers(1 << 62)) | 1
+        table, values = np.full(1 << bits, _EMPTY), np.zeros(1 << bits, np.float32)
+        slot = ((keys * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):  # of the keys at one empty slot the first stays, the others go on to the next slot
+            at, first = np.unique(slot[left], return_index=True)
+            free = table[at] == _EMPTY
+            table[at[free]], values[at[free]] = keys[left[first[free]]], weights[left[first[free]]]
+            left = np.delete(left, first[free])
+            slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
+        return Machine(table, values, m, bias)
 
     def words(self, words: list[str]) -> np.ndarray:
         """The machine's value for each word, or for its letters alone if that is higher."""
@@ -109,6 +112,12 @@ class Machine:
             w, key, value = _features(words[start:end])
             slot = ((key * np.uint64(self.multiplier)) >> np.uint64(64 - bits)).astype(np.int64)
             got = np.where(self.keys[slot] == key, self.weights[slot], 0)
+            open_ = np.flatnonzero((self.keys[slot] != key) & (self.keys[slot] != _EMPTY))
+            while len(open_):  # another key is there: go on until the key or an empty slot
+                slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+                there = self.keys[slot[open_]]
+                got[open_] = np.where(there == key[open_], self.weights[slot[open_]], 0)
+                open_ = open_[(there != key[open_]) & (there != _EMPTY)]
             out[start:end] += np.bincount(w, got * value, end - start)
             start = end
         return out

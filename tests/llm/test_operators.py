@@ -171,6 +171,20 @@ def test_toxicity(spark):
     assert toxicity.score(d, nothing).count() == d.count()
 
 
+def test_toxicity_keeps_every_weight():
+    rng = random.Random(4)
+    words = ["\x00\x00\x00", *["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(100)) for _ in range(30)]]
+    _, keys, _ = toxicity._features(words)
+    keys = np.unique(keys)
+    weights = np.random.default_rng(5).normal(size=len(keys)).astype(np.float32)
+    machine = toxicity.Machine.fold(keys, weights, 0.25)
+    assert len(keys) > 25_000 and np.count_nonzero(machine.weights) == np.count_nonzero(weights)
+    w, key, value = toxicity._features([*words, "unknown ünknown"])
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    want = 0.25 + np.bincount(w, np.where(keys[at] == key, weights[at], 0) * value, len(words) + 1)
+    assert np.allclose(machine._values([*words, "unknown ünknown"]), want, atol=1e-6)
+
+
 def tokenizer_path(name):
     return pytest.importorskip("public_tokenizers").path(name)
 
