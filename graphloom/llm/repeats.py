@@ -1,34 +1,57 @@
 """Removal of long repeated byte strings with run-length compressed Burrows-Wheeler indexes.
 
-Equal strings of ``length`` bytes have the same minimizer at the same place. So a text is cut into overlapping segments,
-one for each minimizer, that hold every window of ``length`` bytes exactly once, and equal windows can only be in
-segments with equal minimizers. Segments that are equal as a whole are settled by counting. Where different segments
-share a minimizer, their bytes are brought together: a run-length compressed BWT with the suffix-array samples of its
-run heads is built over them, and the matching statistics, streamed from those samples, mark the long matches.
+Equal strings of ``length`` symbols have the same minimizer at the same place. So a text is cut into overlapping
+segments, one for each minimizer, that hold every window of ``length`` symbols exactly once, and equal windows can only
+be in segments with equal minimizers. Segments that are equal as a whole (by a 128-bit digest) are settled by counting.
+Where different segments share a minimizer, their contents are brought together: a run-length compressed BWT with the
+suffix-array samples of its run heads is built over them, and the matching statistics, streamed from those samples,
+mark the long matches.
+
+The same is done with two kinds of symbols: bytes, whose long matches are removed, and words, whose long matches in
+other documents are reported as passages.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 from .rolling import Rolling
 
-#: Bytes of the substrings among which the minimizer is chosen.
-_GRAM = 32
-_PLACE = np.uint64((1 << 28) - 1)
+BYTES, WORDS = 0, 1
+#: Symbols of the substrings among which the minimizer is chosen.
+_GRAM = {BYTES: 32, WORDS: 4}
+#: Low bits of a minimizer's value hold its place.
+_PLACE = np.uint64((1 << 32) - 1)
+#: Owner of a segment that stands in several documents.
+_SEVERAL = 0
 
 
-def minimizers(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of ``text``: (first window, end of windows, minimizer hash, hash of all bytes of the segment)."""
-    gram = min(_GRAM, length)
-    rolling = Rolling(text)
-    h = rolling.every(gram)
+class WordHashes(dict):
+    """Word -> 64-bit symbol; forgets everything when it has grown large."""
+
+    def __missing__(self, word):
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def symbols(text: bytes, unit: int, hashes: WordHashes) -> np.ndarray:
+    return np.frombuffer(text, np.uint8) if unit == BYTES else np.array(list(map(hashes.__getitem__, text.split())), np.uint64)
+
+
+def minimizers(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of a text of ``length`` symbols or more: (first window, end of windows, minimizer hash)."""
+    gram = min(gram, length)
+    h = Rolling(text).every(gram)
     w = length - gram + 1
     n = len(text) - length + 1
     v = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)  # the least hash, the leftmost of equal ones
@@ -37,60 +60,82 @@ def minimizers(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
     chosen = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
-    end = np.append(first[1:], n)
-    whole = rolling.of(first, end - 1 + length) ^ (end - first).astype(np.uint64)
-    return first, end, h[chosen[first]].view(np.int64), whole.view(np.int64)
+    return first, np.append(first[1:], n), h[chosen[first]].view(np.int64)
+
+
+def digests(text: np.ndarray, first: np.ndarray, end: np.ndarray, unit: int) -> np.ndarray:
+    """A row of two longs, the 128-bit digest, for each [first, end) of the symbols."""
+    view, size = memoryview(text.tobytes()), text.itemsize
+    one = partial(xxhash.xxh3_128_digest, seed=unit)
+    raw = b"".join([one(view[a:b]) for a, b in zip((first * size).tolist(), (end * size).tolist())])
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
 class RunIndex:
-    """Run-length compressed BWT of several byte strings, each with an end mark of its own.
+    """Run-length compressed BWT of several strings of symbols, each with an end mark of its own.
 
     ``heads``: text places of the suffixes that start a BWT run, ascending; ``before``: the suffix one place up in the
     suffix array; ``common``: how much both have in common. These samples give both for every other place.
     """
 
-    def __init__(self, strings: list[bytes]):
+    def __init__(self, strings: list[np.ndarray]):
         self.lengths = np.array([len(s) for s in strings], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths + 1)))[:-1]
-        n = int((self.lengths + 1).sum())
-        text = np.zeros(n + 3, np.uint64)
+        n = self.n = int((self.lengths + 1).sum())
         inside = np.ones(n, bool)
         inside[self.starts + self.lengths] = False
-        text[:n][inside] = np.frombuffer(b"".join(strings), np.uint8)
-        text[:n][~inside] = 256 + np.arange(len(strings))
-        order, rank = self._sorted((text[:-3] << np.uint64(48)) | (text[1:-2] << np.uint64(32)) | (text[2:-1] << np.uint64(16)) | text[3:])
-        size = 4
-        while rank[order[-1]] < n - 1:
-            later = np.zeros(n, np.uint64)
-            later[:-size] = rank[size:] + 1
-            order, rank = self._sorted(rank.astype(np.uint64) * np.uint64(n + 1) + later)
-            size *= 2
-        text = text[:n]
+        flat = np.concatenate(strings)
+        if flat.dtype != np.uint8:
+            flat = np.unique(flat, return_inverse=True)[1]
+        text = np.zeros(n, np.int64)
+        text[inside] = flat
+        largest = int(text.max()) + 1
+        text[~inside] = largest + np.arange(len(strings))
+        order = self._suffixes(text, inside, largest)
         bwt = text[order - 1]
         head = np.concatenate(([True], bwt[1:] != bwt[:-1]))
-        self.n, self.runs = n, int(head.sum())
+        self.runs = int(head.sum())
         places, before = order[head], np.concatenate(([-1], order[:-1]))[head]
         by = np.argsort(places)
         self.heads, self.before = places[by], before[by]
         self.common = self._extend(text, self.heads, self.before)
 
-    @staticmethod
-    def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        return order, rank
+    def _suffixes(self, text: np.ndarray, inside: np.ndarray, largest: int) -> np.ndarray:
+        """The suffix array, by prefix doubling of those suffixes alone that still have equals."""
+        n, place = self.n, int(self.n).bit_length()
+        if 3 * place > 63:
+            raise ValueError(f"{n} symbols are too many for one index")
+        bits = int(largest + 1).bit_length()
+        size = min(8, (63 - place) // bits)
+        key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+        padded, live = np.concatenate((text, np.zeros(size, np.int64))), np.concatenate((inside, np.zeros(size, bool)))
+        for k in range(size):  # up to the end mark; marks sort first, and among themselves by their place
+            open_ &= live[k : k + n]
+            key = (key << bits) | np.where(open_, padded[k : k + n] + 1, 0)
+        mask = (1 << place) - 1
+        packed = np.sort((key << place) | np.arange(n))
+        order, key = packed & mask, packed >> place
+        first = np.concatenate(([True], key[1:] != key[:-1])) | ~open_[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        while len(slots := np.flatnonzero(~(first & np.append(first[1:], True)))):
+            at = order[slots]
+            packed = np.sort((rank[at] << (2 * place)) | (rank[at + size] << place) | at)
+            at, key = packed & mask, packed >> place
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            order[slots], first[slots] = at, new
+            rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+            size *= 2
+        return order
 
     @staticmethod
     def _extend(text: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 16) -> np.ndarray:
         out = np.zeros(len(a), np.int64)
-        padded = np.concatenate((text, np.arange(1 << 20, (1 << 20) + step, dtype=np.uint64)))
+        padded = np.concatenate((text, np.arange(1 << 40, (1 << 40) + step)))
         live = np.flatnonzero(b >= 0)
         while len(live):
             at = np.arange(step)
-            x, y = (a[live] + out[live])[:, None] + at, (b[live] + out[live])[:, None] + at
-            equal = padded[x] == padded[y]
+            equal = padded[(a[live] + out[live])[:, None] + at] == padded[(b[live] + out[live])[:, None] + at]
             run = np.where(equal.all(1), step, equal.argmin(1))
             out[live] += run
             live = live[run == step]
@@ -103,176 +148,227 @@ class RunIndex:
         gone = i - self.heads[sample]
         return self.common[sample] - gone, self.before[sample] + gone
 
-    def long_matches(self, length: int) -> list[tuple[int, int, int]]:
-        """(string, first, end): runs of places at which a match of ``length`` bytes starts that also starts elsewhere."""
+    def long_matches(self, length: int, owners: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+        """(string, first, end): runs of places at which a match of ``length`` symbols starts that also starts elsewhere.
+
+        With ``owners``, the document of each string (or ``_SEVERAL``), a match counts only if another document has it.
+        """
         match, other = self.matching_statistics()
         long = np.flatnonzero(match >= length)
         marked = np.zeros(self.n + 1, np.int8)
         marked[long] = 1
         marked[other[long]] = 1
+        if owners is not None and len(long):
+            # matches of one string are a chain of neighbours; each is told by the place that begins it
+            begin = np.arange(self.n)
+            begin[long] = other[long]
+            while not np.array_equal(further := begin[begin], begin):
+                begin = further
+            places = np.flatnonzero(marked[:-1])
+            owner = owners[np.searchsorted(self.starts, places, "right") - 1]
+            mixed = np.zeros(self.n, bool)
+            mixed[begin[places[(owner != owners[np.searchsorted(self.starts, begin[places], "right") - 1]) | (owner == _SEVERAL)]]] = True
+            marked[places] = mixed[begin[places]]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], marked))))
         string = np.searchsorted(self.starts, edges[::2], "right") - 1
         return [(int(s), int(a - self.starts[s]), int(b - self.starts[s])) for s, a, b in zip(string, edges[::2], edges[1::2])]
 
 
-def _cut(length: int):
-    """Segments of each text: (h1, h2, key, seg, width, starts); a class of equal segments in a text is one row."""
-    names = ["h1", "h2", "key", "seg", "width", "starts"]
+def _cut(sizes: dict[int, int]):
+    """Segments of each text: (h1, h2, key, lo, hi, width, starts); a class of equal segments in a text is one row.
+
+    The lowest bit of ``key`` is the unit; ``lo`` and ``hi`` are the digest of the segment.
+    """
+    names = ["h1", "h2", "key", "lo", "hi", "width", "starts"]
 
     def run(batches):
+        hashes = WordHashes()
+        out: list[list] = [[] for _ in range(6)]
+        starts, counts, held = [], [], 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            starts, sizes = [], []
             for text, h1, h2 in zip(*(batch.column(i).cast(pa.binary() if i == 0 else pa.int64()).to_pylist() for i in range(3))):
-                if text is None or len(text) < length:
-                    continue
-                first, end, key, seg = minimizers(text, length)
-                _, at, inverse, n = np.unique(seg ^ (key << 1), return_index=True, return_inverse=True, return_counts=True)
-                out[0].append(np.full(len(at), h1))
-                out[1].append(np.full(len(at), h2))
-                for column, values in zip(out[2:], (key, seg, end - first)):
-                    column.append(values[at])
-                starts.append(first[np.argsort(inverse, kind="stable")])
-                sizes.append(n)
-                if sum(map(len, sizes[-64:])) > 1 << 16:
-                    yield batch_of(out, starts, sizes)
-                    out, starts, sizes = [[] for _ in range(5)], [], []
-            yield batch_of(out, starts, sizes)
-
-    def batch_of(out, starts, sizes):
+                for unit, length in sizes.items():
+                    if text is None or len(text) < length or len(s := symbols(text, unit, hashes)) < length:
+                        continue
+                    first, end, key = minimizers(s, length, _GRAM[unit])
+                    whole = digests(s, first, end - 1 + length, unit)
+                    _, at, inverse, n = np.unique(whole[:, 0], return_index=True, return_inverse=True, return_counts=True)
+                    if (whole[at[inverse], 1] != whole[:, 1]).any():
+                        _, at, inverse, n = np.unique(whole, axis=0, return_index=True, return_inverse=True, return_counts=True)
+                    for column, values in zip(out, (np.full(len(at), h1), np.full(len(at), h2), (key[at] & ~1) | unit, whole[at, 0], whole[at, 1], (end - first)[at])):
+                        column.append(values)
+                    starts.append(first[np.argsort(inverse.ravel(), kind="stable")])
+                    counts.append(n)
+                    held += len(first)
+                if held > 1 << 16:
+                    yield batch_of(out, starts, counts)
+                    out, starts, counts, held = [[] for _ in range(6)], [], [], 0
+        yield batch_of(out, starts, counts)
+
+    def batch_of(out, starts, counts):
         cat = lambda x: np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)
-        offsets = np.concatenate(([0], np.cumsum(cat(sizes)))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([*(pa.array(cat(c)) for c in out), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cat(starts)))], names=names)
+        offsets = np.concatenate(([0], np.cumsum(cat(counts)))).astype(np.int32)
+        *longs, width = (cat(c) for c in out)
+        return pa.RecordBatch.from_arrays([*map(pa.array, longs), pa.array(width, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cat(starts), pa.int32()))], names=names)
 
     return run
 
 
-def _fetch(length: int):
-    """The bytes of the segments that a text must hand out."""
+def _fetch(sizes: dict[int, int]):
+    """The bytes of the segments that a text must hand out: of words, joined by spaces."""
 
     def run(batches):
         for batch in batches:
-            keys, segs, parts = [], [], []
+            rows, parts = [], []
             for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
+                words = text.split() if any(w["key"] & 1 for w in wanted) else []
                 for w in wanted:
-                    keys.append(w["key"])
-                    segs.append(w["seg"])
-                    parts.append(text[w["start"] : w["start"] + w["width"] - 1 + length])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(segs, pa.int64()), pa.array(parts, pa.binary())], names=["key", "seg", "part"])
+                    unit, start = w["key"] & 1, w["start"]
+                    end = start + w["width"] - 1 + sizes[unit]
+                    rows.append((w["key"], w["lo"], w["hi"], w["owner"]))
+                    parts.append(b" ".join(words[start:end]) if unit == WORDS else text[start:end])
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), pa.array(parts, pa.binary())], names=["key", "lo", "hi", "owner", "part"])
 
     return run
 
 
-_MARKS = "key long, seg long, first int, end int"
+_MARKS = "lo long, hi long, first int, end int"
 
 
 def _marks(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["key", "seg", "first", "end"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["lo", "hi", "first", "end"])
 
 
-def _match(length: int, block: int):
-    """Rows sorted by key; whole keys are indexed together until a block is full."""
+def _match(sizes: dict[int, int], block: int):
+    """Rows sorted by key; whole keys of a unit are indexed together until a block is full."""
 
     def run(batches):
-        held, parts, size, last = [], [], 0, None
+        hashes = WordHashes()
+        held: dict[int, list] = {u: [] for u in sizes}
+        size, last = dict.fromkeys(sizes, 0), None
 
-        def done():
-            return _marks([(*held[s], a, b) for s, a, b in RunIndex(parts).long_matches(length)])
+        def done(unit):
+            rows, held[unit], size[unit] = held[unit], [], 0
+            index = RunIndex([symbols(r[3], unit, hashes) for r in rows])
+            found = index.long_matches(sizes[unit], np.array([r[2] for r in rows]) if unit == WORDS else None)
+            return _marks([(*rows[s][:2], a, b) for s, a, b in found])
 
         for batch in batches:
-            for key, seg, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if key != last and (size >= block or len(parts) > 60_000):
-                    yield done()
-                    held, parts, size = [], [], 0
+            for key, lo, hi, owner, part in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                unit = key & 1
+                if key != last and (size[unit] >= block or len(held[unit]) > 60_000):
+                    yield done(unit)
                 last = key
-                held.append((key, seg))
-                parts.append(part)
-                size += len(part)
-        if parts:
-            yield done()
+                held[unit].append((lo, hi, owner, part))
+                size[unit] += len(part)
+        for unit in sizes:
+            if held[unit]:
+                yield done(unit)
 
     return run
 
 
-def _windows(length: int):
-    """For minimizers with very many segments: a row for each window, to be counted."""
+def _windows(sizes: dict[int, int]):
+    """For minimizers with very many different segments: a row for each window, to be counted by its digest."""
 
     def run(batches):
+        hashes = WordHashes()
         for batch in batches:
-            for key, seg, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                h = Rolling(part).every(length).view(np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, seg)), pa.array(h), pa.array(np.arange(n, dtype=np.int32))], names=["key", "seg", "window", "first"])
+            for key, lo, hi, owner, part in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                unit = key & 1
+                s = symbols(part, unit, hashes)
+                first = np.arange(len(s) - sizes[unit] + 1)
+                d = digests(s, first, first + sizes[unit], unit)
+                same = lambda x: pa.array(np.full(len(first), x))
+                yield pa.RecordBatch.from_arrays([same(key), same(lo), same(hi), same(owner), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(first.astype(np.int32))], names=["key", "lo", "hi", "owner", "w1", "w2", "first"])
 
     return run
 
 
-def _apply(batches):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    for batch in batches:
-        out: list[list] = [[] for _ in range(5)]
-        for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-            text = text or b""
-            parts, at, removed, n_spans, last = [], 0, 0, 0, -1
-            for a, b in sorted((s["lo"], s["hi"]) for s in spans or ()):
-                if a > last:
-                    n_spans += 1
-                    parts.append(text[at:a])
-                removed += max(0, b - max(a, last))
-                last = at = max(last, b)
-            parts.append(text[at:])
-            kept = b"".join(parts)
-            for column, value in zip(out, (len(text), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept)):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=names)
+def _merged(spans) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+_OUT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_passage_words": pa.int64()}
 
 
-def _apply_digest(batches):
-    for batch in _apply(batches):
-        yield batch.select(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _apply(with_kept: bool):
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                text, at, parts = text or b"", 0, []
+                gone = _merged((s["lo"], s["hi"]) for s in spans or () if s["unit"] == BYTES)
+                words = _merged((s["lo"], s["hi"]) for s in spans or () if s["unit"] == WORDS)
+                for a, b in gone:
+                    parts.append(text[at:a])
+                    at = b
+                parts.append(text[at:])
+                kept = b"".join(parts)
+                for column, value in zip(out, (len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in words), kept)):
+                    column.append(value)
+            columns = [pa.array(c, t) for c, t in zip(out, list(_OUT.values())[1:])]
+            more = [pa.array(out[5], pa.binary())] if with_kept else []
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns, *more], names=[*_OUT, *["kept"] * with_kept])
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, block: int = 1 << 20, most: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 51, block: int = 3 << 18, most: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """Remove every byte that lies in a string of ``length`` bytes that starts anywhere else, too.
 
-    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_kept`` the kept bytes. Strings are judged
-    on the input. Null texts count as empty; null ids and repeated rows are kept (a repeated text of ``length`` bytes or
-    more loses all of them); an empty table gives an empty result. A minimizer whose different segments exceed ``most``
-    bytes is settled by counting its windows rather than by one index, so that no task holds an unbounded group.
+    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words (words in passages of ``passage`` words
+    or more, split at white space, that stand in another row, too; nothing is removed for them), and with ``with_kept``
+    the kept bytes. Strings are judged on the input. Null texts count as empty; null ids and repeated rows are kept (a
+    repeated text of ``length`` bytes or more loses all of them); an empty table gives an empty result; other columns,
+    whatever their names, are ignored. Texts of any length are cut whole; no task holds more of one than its segments.
+
+    An index holds whole minimizers until it has ``block`` bytes. The different segments of one minimizer that together
+    exceed ``most`` bytes are settled by counting the 128-bit digests of their windows instead.
     """
+    sizes = {BYTES: length, WORDS: passage}
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     keyed = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
-    cut = keyed.select("text", "h1", "h2").mapInArrow(_cut(length), "h1 long, h2 long, key long, seg long, width long, starts array<long>")
+    cut = keyed.select("text", "h1", "h2").mapInArrow(_cut(sizes), "h1 long, h2 long, key long, lo long, hi long, width int, starts array<int>")
     segments = staged(cut, "segments")
-
-    # classes of equal segments
-    classes = segments.groupBy("key", "seg").agg(F.sum(F.size("starts")).alias("n"), F.min(F.struct("h1", "h2", F.element_at("starts", 1).alias("start"), "width")).alias("at"))
-    repeated = F.col("n") > 1
-    keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum(F.col("at.width") - 1 + length).alias("bytes")).where("different > 1").select("key", "bytes")
-    classes = staged(classes.join(keys, "key", "left").where(repeated | F.col("bytes").isNotNull()), "classes")
-
-    # bytes of one segment of each class whose minimizer has others
-    wanted = classes.where("bytes is not null").groupBy("at.h1", "at.h2").agg(F.collect_list(F.struct("key", "seg", "at.start", "at.width")).alias("wanted"))
-    fetched = keyed.join(wanted, ["h1", "h2"]).select("text", "wanted").mapInArrow(_fetch(length), "key long, seg long, part binary")
-    parts = fetched.groupBy("key", "seg").agg(F.first("part").alias("part"))
-    parts = staged(parts.join(keys_of(classes), "key"), "parts")
-    few = parts.where(F.col("bytes") <= most).select("key", "seg", "part")
-    marks = few.repartition("key").sortWithinPartitions("key").mapInArrow(_match(length, block), _MARKS)
-    windows = parts.where(F.col("bytes") > most).select("key", "seg", "part").mapInArrow(_windows(length), "key long, seg long, window long, first int")
-    again = windows.groupBy("key", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "window")
-    many = windows.join(again, ["key", "window"]).select("key", "seg", "first", (F.col("first") + 1).alias("end"))
-    found = marks.union(many)
-
-    whole = classes.where(repeated).select("key", "seg", F.lit(0).alias("first"), F.col("at.width").cast("int").alias("end"))
-    spans = segments.join(whole.union(found).distinct(), ["key", "seg"]).select("h1", "h2", "first", "end", F.explode("starts").alias("s"))
-    spans = spans.select("h1", "h2", (F.col("s") + F.col("first")).alias("lo"), (F.col("s") + F.col("end") - 1 + length).alias("hi")).distinct()
-    marked = spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    is_word = F.col("key").bitwiseAND(1) == 1
+
+    # classes of equal segments: what stands twice, or for words in two rows, is repeated as a whole
+    first = F.min(F.struct("h1", "h2", F.element_at("starts", 1).alias("start"), "key", "width"))
+    classes = segments.groupBy("lo", "hi").agg(F.sum(F.size("starts")).alias("n"), F.count(F.lit(1)).alias("n_rows"), first.alias("at"))
+    classes = classes.select("lo", "hi", "at.*", "n_rows", F.when(is_word, F.col("n_rows")).otherwise(F.col("n")).alias("n"))
+    per_symbol = F.when(is_word, 8).otherwise(1)
+    content = (F.col("width") - 1 + F.when(is_word, passage).otherwise(length)) * per_symbol
+    keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum(content).alias("bytes")).where("different > 1").select("key", "bytes")
+    classes = staged(classes.join(keys, "key", "left").where("n > 1 or bytes is not null"), "classes")
+
+    # contents of one segment of each class whose minimizer has others
+    owner = F.when(F.col("n_rows") > 1, _SEVERAL).otherwise(F.when(F.col("h1") == _SEVERAL, 1).otherwise(F.col("h1")))
+    wanted = classes.where("bytes is not null").groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "lo", "hi", "start", "width", owner.alias("owner"))).alias("wanted"))
+    fetched = keyed.join(wanted, ["h1", "h2"]).select("text", "wanted").mapInArrow(_fetch(sizes), "key long, lo long, hi long, owner long, part binary")
+    parts = fetched.groupBy("key", "lo", "hi", "owner").agg(F.first("part").alias("part"))
+    parts = staged(parts.join(classes.where("bytes is not null").select("key", "bytes").distinct(), "key"), "parts")
+    few = parts.where(F.col("bytes") <= most).select("key", "lo", "hi", "owner", "part")
+    marks = few.repartition("key").sortWithinPartitions("key").mapInArrow(_match(sizes, block), _MARKS)
+    many = parts.where(F.col("bytes") > most).select("key", "lo", "hi", "owner", "part")
+    windows = many.mapInArrow(_windows(sizes), "key long, lo long, hi long, owner long, w1 long, w2 long, first int")
+    counted = windows.groupBy("key", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("o1"), F.max("owner").alias("o2"), F.bool_or(F.col("owner") == _SEVERAL).alias("several"))
+    again = counted.where((F.col("n") > 1) & (~is_word | F.col("several") | (F.col("o1") != F.col("o2")))).select("key", "w1", "w2")
+    many = windows.join(again, ["key", "w1", "w2"]).select("lo", "hi", "first", (F.col("first") + 1).alias("end"))
+
+    whole = classes.where("n > 1").select("lo", "hi", F.lit(0).alias("first"), F.col("width").alias("end"))
+    spans = segments.join(whole.union(marks).union(many).distinct(), ["lo", "hi"]).select("h1", "h2", is_word.cast("int").alias("unit"), "first", "end", F.explode("starts").alias("s"))
+    reach = F.when(F.col("unit") == WORDS, passage).otherwise(length) - 1
+    spans = spans.select("h1", "h2", "unit", (F.col("s") + F.col("first")).alias("lo"), (F.col("s") + F.col("end") + reach).alias("hi")).distinct()
+    marked = spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("unit", "lo", "hi")).alias("spans"))
     ready = keyed.join(marked, ["h1", "h2"], "left").select("doc_id", "text", "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return ready.mapInArrow(_apply, schema + ", kept binary") if with_kept else ready.mapInArrow(_apply_digest, schema)
-
-
-def keys_of(classes: DataFrame) -> DataFrame:
-    return classes.where("bytes is not null").select("key", "bytes").distinct()
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
+    return ready.mapInArrow(_apply(with_kept), schema + ", kept binary" * with_kept)

@@ -1,4 +1,4 @@
-"""Polynomial hashes of all substrings of a text from prefix sums, modulo 2^64."""
+"""Polynomial hashes of all substrings of a text (bytes, or an array of symbols) from prefix sums, modulo 2^64."""
 
 from __future__ import annotations
 
@@ -36,10 +36,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """``of(start, end)``: hashes of the substrings [start, end) of a text, wherever they stand."""
 
-    def __init__(self, text: bytes):
+    def __init__(self, text: bytes | np.ndarray):
         n = len(text)
         up, self.down = _POWERS.get(n + 1)
-        raw = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
+        raw = (np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text).astype(np.uint64) + np.uint64(1)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * up[:n])))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
