@@ -3,11 +3,14 @@
 Two documents that link have a common token among the first ``n - ceil(t n) + 1`` tokens of each, under every global
 order of the tokens. Order one puts tokens first that a quarter of the token space (by hash) shows to be in one document
 alone: documents whose prefix holds nothing else have no partner, and most documents leave the join here. Among the rest,
-order two is by exact document frequency; what shares a prefix token there, with compatible sizes, falls into one family.
-Inside a family, candidates must share prefix tokens under three orders (frequency, hash, another hash) before the sets
-are compared. Large families are split into pairs of blocks of bounded size.
-
-Sets are kept as 64-bit hashes of their shingles; documents with equal sets are one node of the join.
+the postings of two orders, by document frequency and by hash, are chained: what shares a prefix token with compatible
+sizes falls into one group of that order. The filters are intersected: only documents that are in one group under both
+orders stay candidates, as a family. Inside a family, pairs must share prefix tokens under three orders (frequency, hash,
+another hash) before their sets are compared.
+
+A large family is split into blocks. Each block is verified with the next one; if that already joins all of the family,
+no other pair of blocks has to be, and else all others are. Sets are kept as 64-bit hashes of their shingles; documents
+with equal sets are one node of the join. A second hash of each set tells if two sets should share their first one.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import packed, staged, unpacked
-from .components import components
+from .common import discard, packed, staged, unpacked
+from .components import components, least_of_each
 
 # Odd multipliers of the shingle hash, for the first four positions.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -59,8 +62,10 @@ def shingles(text: bytes, hashes: dict, size: int = 4) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def _signature(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def _signature(tokens: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set; the first one names it."""
+    raw = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    return (raw >> 64) - (1 << 63), (raw & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -73,20 +78,22 @@ def _texts(batch: pa.RecordBatch, at: int):
 
 
 def _sketch(size: int):
-    """Per document: n, signature, and the tokens of the sampled quarter of the token space."""
+    """Per document: n, signature, its check, and the tokens of the sampled quarter of the token space."""
 
     def run(batches):
         hashes = _WordHashes()
         for batch in batches:
-            n, sig, some = [], [], []
+            n, sig, check, some = [], [], [], []
             for text in _texts(batch, 1):
                 if len(hashes) > 200_000:
                     hashes.clear()
                 tokens = shingles(text, hashes, size)
                 n.append(len(tokens))
-                sig.append(_signature(tokens))
+                first, second = _signature(tokens)
+                sig.append(first)
+                check.append(second)
                 some.append(tokens[tokens & 3 == 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), _lists(some), batch.column(2)], names=["doc_id", "n", "sig", "some", "text_hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(check, pa.int64()), _lists(some), batch.column(2)], names=["doc_id", "n", "sig", "check", "some", "text_hash"])
 
     return run
 
@@ -102,7 +109,7 @@ def _sets(size: int):
                 if len(hashes) > 200_000:
                     hashes.clear()
                 tokens = shingles(text, hashes, size)
-                if _signature(tokens) == want:
+                if _signature(tokens)[0] == want:
                     sig.append(want)
                     sets.append(tokens)
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), _lists(sets)], names=["sig", "tokens"])
@@ -116,37 +123,37 @@ def least_overlap(n, percent: int):
 
 
 def _chain(percent: int):
-    """In (token, n, sig) order, links each run of one token and compatible neighbours to the first of the run.
+    """In (token, n, node) order, links each run of one token and compatible neighbours to the first of the run.
 
     Also yields the ends of the partition, for the links across.
     """
 
     def run(batches):
         pid, last, leader, first = TaskContext.get().partitionId(), None, None, True
-        names = ["u", "v", "token", "n", "sig", "place"]
+        names = ["u", "v", "token", "n", "node", "place"]
         kinds = [pa.int64()] * 6
 
         def end(row, place):
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([None, None, *row, 2 * pid + place], kinds)], names=names)
 
         for batch in batches:
-            token, n, sig = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            token, n, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(token):
                 continue
             if first:
-                yield end((token[0], n[0], sig[0]), 0)
+                yield end((token[0], n[0], node[0]), 0)
                 first = False
             if last is not None:
-                token, n, sig = (np.concatenate(([a], b)) for a, b in zip(last, (token, n, sig)))
+                token, n, node = (np.concatenate(([a], b)) for a, b in zip(last, (token, n, node)))
             begins = np.concatenate(([True], (token[1:] != token[:-1]) | (n[1:] * percent > n[:-1] * 100)))
             run = np.cumsum(begins) - 1
-            leaders = sig[begins]
+            leaders = node[begins]
             if last is not None:
                 leaders[0] = leader
-            edges = np.unique(np.stack((leaders[run], sig), 1)[~begins], axis=0)
-            nulls = pa.nulls(len(edges), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), nulls, nulls, nulls, nulls], names=names)
-            last, leader = (token[-1], n[-1], sig[-1]), leaders[-1]
+            u, v = least_of_each(leaders[run][~begins], node[~begins])
+            nulls = pa.nulls(len(u), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), nulls, nulls, nulls, nulls], names=names)
+            last, leader = (token[-1], n[-1], node[-1]), leaders[-1]
         if last is not None:
             yield end(last, 1)
 
@@ -242,19 +249,79 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _families(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """family and sig of the sets that may have a partner: one group under the order by frequency, and by hash.
+
+    ``node`` is a signature whose lowest bit is the order, so that one pass over the postings serves both orders.
+    """
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    # order by hash: the tokens are hashes, and stand in their order
+    token = sets.select("sig", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token")).select("sig", "token", (F.col("place") < need).alias("early"))
+    # tokens of one document alone need no posting; under the order by frequency they come first
+    df = token.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = token.join(df, "token").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "token", "early"))).alias("shared"))
+    sized = shared.join(classes, "sig").withColumn("left", F.greatest(need - (F.col("n") - F.size("shared")), F.lit(0)).cast("int"))
+    of = lambda tokens, order: F.transform(tokens, lambda t: F.struct(t["token"].bitwiseAND(~1).bitwiseOR(order).alias("token"), F.lit(order).alias("order")))
+    both = F.concat(of(F.slice("shared", F.lit(1), F.col("left")), 0), of(F.filter("shared", lambda t: t["early"]), 1))
+    postings = sized.select("sig", "n", F.explode(both).alias("t")).select("t.token", "n", F.col("sig").bitwiseAND(~1).bitwiseOR(F.col("t.order")).alias("node"))
+    order = ("token", "n", "node")
+    postings = staged(postings, "postings")
+    chained = staged(postings.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chain(percent), "u long, v long, token long, n long, node long, place long"), "chained")
+    discard(postings)
+    ends = chained.where("place is not null")
+    # two rows for each partition
+    lag = lambda c: F.lag(c).over(W.orderBy("place"))
+    across = ends.select("token", "n", F.col("node").alias("v"), lag("token").alias("t"), lag("n").alias("m"), lag("node").alias("u")).where(f"t = token and n * {percent} <= m * 100").select("u", "v")
+    groups = components(chained.where("place is null").select("u", "v").union(across))
+    root = lambda order: F.max(F.when(F.col("node").bitwiseAND(1) == order, F.col("root")))
+    of_both = groups.groupBy(F.col("node").bitwiseAND(~1).alias("half")).agg(root(0).alias("r0"), root(1).alias("r1")).where("r0 is not null and r1 is not null")
+    named = sets.select("sig", F.col("sig").bitwiseAND(~1).alias("half")).join(of_both, "half")
+    families = staged(named.select(F.xxhash64("r0", "r1").alias("family"), "sig"), "families")
+    discard(chained)
+    return families
+
+
+def _links(sets: DataFrame, families: DataFrame, percent: int, block_tokens: int) -> DataFrame:
+    """(u, v): links that join all sets of a component, verified inside families."""
+    members = families.join(sets, "sig").select("family", "sig", "tokens")
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum(F.size("tokens")) / block_tokens).cast("int").alias("blocks")).where("members > 1")
+    sizes = staged(sizes.select("family", "blocks"), "blocks")
+    placed = staged(members.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")), "members")
+
+    def verified(rows: DataFrame, others) -> DataFrame:
+        """``others``: the blocks that a row's own block meets; both blocks of a pair meet as (a, b), a <= b."""
+        paired = rows.withColumn("other", F.explode(others)).select("family", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "sig", "tokens")
+        groups = ("family", "a", "b")
+        return staged(paired.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_verify(percent), "u long, v long"), "links")
+
+    last = F.col("blocks") - 1
+    beside = F.array_distinct(F.array(F.pmod(F.col("mine") + 1, "blocks"), F.pmod(F.col("mine") + last, "blocks")))
+    links = verified(placed, beside)
+    if (sizes.agg(F.max("blocks").alias("b")).first()["b"] or 1) > 3:  # else each block has met every other
+        joined = components(links)
+        large = placed.where("blocks > 3").join(joined, F.col("sig") == F.col("node"), "left")
+        parts = large.groupBy("family").agg(F.count_distinct(F.coalesce("root", "sig")).alias("parts")).where("parts > 1").select("family")
+        rest = F.filter(F.sequence(F.lit(0), last), lambda k: (k != F.col("mine")) & ~F.array_contains(beside, k))
+        links = links.union(verified(placed.where("blocks > 3").join(parts, "family", "left_semi"), rest))
+    return links
+
+
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach), text_hash and root of every document.
 
     ``root`` is one value for each component (of documents with words), whatever the ids; ``text_hash`` is xxhash64.
 
     Two documents link if ``100 |A and B| >= percent |A or B|``. A document without words (or without text) links with
     nothing. Rows with null ids take part; a component of null ids alone has a null component_id. Repeated rows stay.
-    An empty table gives an empty result. Families of more than ``block_tokens`` tokens are verified in pairs of blocks.
+    An empty table gives an empty result; other columns, whatever their names, are ignored. Texts of any length count
+    whole. Families of more than ``block_tokens`` tokens are verified in pairs of blocks. Should two different sets have
+    one signature (64 bits), a check of other 64 bits fails the query rather than join them.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    sketch = staged(hashed.mapInArrow(_sketch(size), "doc_id long, n long, sig long, some array<long>, text_hash long"), "sketch")
-    classes = staged(sketch.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    sketch = staged(hashed.mapInArrow(_sketch(size), "doc_id long, n long, sig long, check long, some array<long>, text_hash long"), "sketch")
+    alike = F.when(F.min("check") == F.max("check"), F.first("n")).otherwise(F.raise_error(F.lit("two different sets have one signature")).cast("long"))
+    classes = staged(sketch.groupBy("sig").agg(F.min("doc_id").alias("rep"), alike.alias("n")), "classes")
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
 
     # order one: sampled tokens of one document alone come first. min = max: no other signature has the token
@@ -266,31 +333,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block_
     chosen = rows.join(rest, rows.doc_id.eqNullSafe(rest.rep)).select("sig", "text")
     sets = staged(chosen.mapInArrow(_sets(size), "sig long, tokens array<long>").dropDuplicates(["sig"]), "sets")
 
-    # order two: by document frequency among the rest; tokens of one document alone need no posting
-    token = sets.select("sig", F.explode("tokens").alias("token"))
-    df = token.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = token.join(df, "token").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    sized = shared.join(classes, "sig").withColumn("left", (need - (F.col("n") - F.size("shared"))).cast("int"))
-    postings = sized.where("left > 0").select("sig", "n", F.explode(F.slice("shared", F.lit(1), F.col("left"))).alias("t")).select("t.token", "n", "sig")
-    postings = staged(postings, "postings").repartitionByRange("token", "n", "sig").sortWithinPartitions("token", "n", "sig")
-    chained = staged(postings.mapInArrow(_chain(percent), "u long, v long, token long, n long, sig long, place long"), "chained")
-    ends = chained.where("place is not null")
-    # two rows for each partition
-    lag = lambda c: F.lag(c).over(W.orderBy("place"))
-    across = ends.select("token", "n", F.col("sig").alias("v"), lag("token").alias("t"), lag("n").alias("m"), lag("sig").alias("u")).where(f"t = token and n * {percent} <= m * 100").select("u", "v")
-    family = staged(components(chained.where("place is null").select("u", "v").union(across)), "families")
-
-    # inside families
-    members = family.join(sets, family.node == sets.sig).select(F.col("root").alias("family"), "sig", "tokens")
-    blocks = staged(members.groupBy("family").agg(F.ceil(F.sum(F.size("tokens")) / block_tokens).cast("int").alias("blocks")), "blocks")
-    mine = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    paired = members.join(blocks, "family").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("family", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "sig", "tokens")
-    links = paired.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(_verify(percent), "u long, v long")
-    # inside a block, links already lead to one root; only blocks of one family have to be joined
-    single = (blocks.agg(F.max("blocks").alias("b")).first()["b"] or 1) == 1
-    linked = staged(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "links") if single else components(links)
-
+    linked = components(_links(sets, _families(sets, classes, percent), percent, block_tokens))
     roots = classes.join(linked, classes.sig == linked.node, "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = roots.join(smallest, "root").select("sig", "root", "component_id")
@@ -300,7 +343,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block_
 def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without all but one document (the smallest id) of each component.
 
-    Documents without words stay. Rows that repeat an id and a text are one document.
+    Documents without words stay. Rows that repeat an id and a text are one document. All columns stay as they are,
+    whatever their names; an empty table stays empty.
     """
     none = -(1 << 63)
     groups = jaccard_components(docs, size, percent)
