@@ -44,4 +44,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with releasing(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`staged` wrote: for tables that nothing reads any more, as all that came of them is written."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
