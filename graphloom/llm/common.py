@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import new_path, releasing, shared_dir, staged
+from ..scratch import discard, new_path, releasing, shared_dir, staged
 from ..shipping import ship
 
-__all__ = ["ascii_lower", "new_path", "packed", "releasing", "shared_dir", "staged", "table", "unpacked"]
+__all__ = ["ascii_lower", "discard", "new_path", "packed", "releasing", "shared_dir", "staged", "table", "unpacked"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +21,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``text`` and all other columns as the struct ``others``, whatever their names are."""
+    """``doc_id``, ``text`` and the struct ``others`` of all other columns, whatever their names are.
+
+    Its fields are called by their number (c0, c1, ...), so that no column's name can clash with another.
+    """
     ship(docs.sparkSession)
-    others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("others"))
+    others = [_named(c).alias(f"c{k}") for k, c in enumerate(c for c in docs.columns if c not in (id_col, text_col))]
+    return docs.select(_named(id_col).cast("long").alias("doc_id"), _named(text_col).alias("text"), F.struct(*(others or [F.lit(0).alias("c0")])).alias("others"))
 
 
 def unpacked(df: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns that :func:`packed` was given."""
     place = {id_col: F.col("doc_id").alias(id_col), text_col: F.col("text").alias(text_col)}
-    return df.select(*[place.get(c, F.col("others")[c].alias(c)) for c in columns])
+    number = {c: k for k, c in enumerate(c for c in columns if c not in place)}
+    return df.select(*[place[c] if c in place else F.col("others")[f"c{number[c]}"].alias(c) for c in columns])
