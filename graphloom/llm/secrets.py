@@ -1,15 +1,14 @@
 """Secret scans through a trigram inverted index (native: DataFrame functions only).
 
 From each rule's regex a Boolean trigram query is derived: an OR of ANDs of the trigrams that every match must hold.
-The trigrams that the queries name are indexed (postings of document keys), the postings are intersected into a
-candidate mask for each document, and a rule's regex runs only over its candidates. A rule without mandatory trigrams
-scans every text.
+The index holds the postings (trigram, document key) of the trigrams that some query names, over all documents. Each AND
+looks its trigrams up and intersects their postings; a rule's candidates are the union of its ANDs. The regexes run over
+their candidates alone. A rule without mandatory trigrams scans every text.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -95,68 +94,94 @@ def trigram_query(rule: Rule) -> list[frozenset[str]] | None:
     return list(dict.fromkeys(query))
 
 
-def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """key -> mask: bit r is set if the document's trigrams satisfy the query of rule r.
+def trigram_index(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The inverted index: (gram, key) for each trigram that some rule's query names and each text that holds it."""
+    named = sorted({g for q in map(trigram_query, rules) for conj in q or () for g in conj})
+    lowered = docs.select("key", F.lower("text").alias("t"))
+    held = F.array_compact(F.array(*[F.when(F.contains("t", F.lit(g)), F.lit(g)) for g in named]))
+    return lowered.select(F.explode(held).alias("gram"), "key")
+
+
+def candidates(index: DataFrame, rules=RULES) -> DataFrame:
+    """key -> rules (their numbers): the texts whose trigrams satisfy the queries.
 
-    Indexed are the trigrams that some query names, over all documents: postings (trigram, key), then the intersection
-    of the posting lists for each query.
+    A conjunction looks up its trigrams and keeps the keys that stand in all of their postings.
     """
-    queries = {r: q for r, q in enumerate(map(trigram_query, rules)) if q is not None}
-    grams = sorted({g for q in queries.values() for conj in q for g in conj})
-    bit = {g: i for i, g in enumerate(grams)}
-    # at most 62 trigrams to a word of the bit set
-    n_words = -(-len(grams) // 62)
-    lowered = docs.select("key", F.lower("text").alias("t"))
-    named = F.array_compact(F.array(*[F.when(F.contains("t", F.lit(g)), F.lit(i)) for g, i in bit.items()]))
-    postings = lowered.select("key", F.explode(named).alias("gram"))
-    sets = postings.groupBy("key").agg(*[F.expr(f"bit_or(if(gram div 62 = {k}, shiftleft(1L, cast(gram % 62 as int)), 0L))").alias(f"s{k}") for k in range(n_words)])
+    entries = [(g, r, c, 1 << k, (1 << len(conj)) - 1) for r, rule in enumerate(rules) for c, conj in enumerate(trigram_query(rule) or ()) for k, g in enumerate(sorted(conj))]
+    queries = F.broadcast(index.sparkSession.createDataFrame(entries, "gram string, rule int, conj int, bit long, need long"))  # a few rows for each rule
+    # a bit for each trigram, as rows that share a key post it several times
+    met = index.join(queries, "gram").groupBy("key", "rule", "conj", "need").agg(F.bit_or("bit").alias("met")).where("met = need")
+    return met.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+
+
+#: Running values are taken in blocks of this size, then over blocks: what is appended to stays short.
+_BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside a lambda, an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, how) -> Column:
+    """For each element of an int array, ``how`` (a sum or a maximum, from 0) over the elements up to it."""
+    ints, lists = "array<int>", "array<array<int>>"
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
+    fold = lambda xs: F.aggregate(xs, F.array().cast(ints), lambda acc, x: F.concat(acc, F.array(how(last(acc), x).cast("int"))))
 
-    def satisfied(conj: frozenset[str]) -> Column:
-        need = [sum(1 << (bit[g] % 62) for g in conj if bit[g] // 62 == k) for k in range(n_words)]
-        return reduce(lambda a, b: a & b, [F.col(f"s{k}").bitwiseAND(F.lit(m).cast("long")) == m for k, m in enumerate(need) if m])
+    def blocks(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(_BLOCK))
+        return F.when(F.size(v) == 0, F.array().cast(lists)).otherwise(F.transform(starts, lambda at: F.slice(v, at, F.lit(_BLOCK))))
 
-    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(reduce(lambda a, b: a | b, map(satisfied, q)), F.lit(1 << r)).otherwise(0) for r, q in queries.items()], F.lit(0))
-    return sets.select("key", mask.alias("mask")).where("mask != 0")
+    def joined(inside: Column) -> Column:
+        return let(F.transform(inside, last), lambda ends: F.flatten(F.zip_with(inside, heads(ends), lambda block, head: F.transform(block, lambda x: how(head, x).cast("int")))))
+
+    def heads(ends: Column) -> Column:
+        return F.transform(ends, lambda x, k: F.aggregate(F.slice(ends, F.lit(1), k), F.lit(0), lambda acc, y: how(acc, y).cast("int")))
+
+    return let(let(values, blocks), lambda b: let(F.transform(b, fold), joined))
+
+
+SPANS = "array<struct<start:int,k:int,end:int,kind:string>>"
 
 
 def matches(text: Column, rule: Rule) -> Column:
     """Array of (start, k, end, kind) of the rule's leftmost non-overlapping matches, in code points, end exclusive."""
-    regex = F.lit(("(?i)" if rule.ignore_case else "") + rule.regex)
+    pattern = ("(?i)" if rule.ignore_case else "") + rule.regex
     k = RULES.index(rule)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    between = F.transform(F.split(text, ("(?i)" if rule.ignore_case else "") + rule.regex, -1), F.char_length)
-    group = F.regexp_extract_all(text, regex, F.lit(rule.group))
-    pieces = F.arrays_zip(F.transform(found, F.char_length).alias("n"), F.transform(group, F.char_length).alias("g"), F.slice(between, 1, F.size(found)).alias("gap"))
-    start_type = "struct<at:int,out:array<struct<start:int,k:int,end:int,kind:string>>>"
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>").alias("out")).cast(start_type)
+    lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length)
+    groups = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)), F.char_length) if rule.least else lengths
+    # what lies before each match (and, last of all, after them)
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + p["n"]
-        span = F.struct(start.alias("start"), F.lit(k).alias("k"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        kept = F.when(p["g"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), kept.alias("out")).cast(start_type)
+    def spans(ns: Column) -> Column:
+        steps = F.zip_with(ns, F.slice(gaps, F.lit(1), F.size(ns)), lambda n, gap: gap + n)
+        ends = F.when(F.size(ns) == 0, F.array().cast("array<int>")).otherwise(running(steps, lambda a, b: a + b))
+        found = F.arrays_zip(ends.alias("e"), ns.alias("n"), groups.alias("g"))
+        kept = F.filter(found, lambda m: m["g"] >= rule.least)
+        return F.transform(kept, lambda m: F.struct((m["e"] - m["n"]).alias("start"), F.lit(k).alias("k"), m["e"].alias("end"), F.lit(rule.kind).alias("kind")))
 
-    return F.aggregate(pieces, nothing, step, lambda acc: acc["out"])
+    return let(lengths, spans).cast(SPANS)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, others (all other columns) and ``found``: the sorted spans (start, k, end, kind), in code points.
 
-    Null texts have no spans. Null ids and repeated rows are kept; rows with the same id share their candidate mask,
-    which can only add candidates. An empty table gives an empty result.
+    Null texts have no spans. Null ids and repeated rows are kept: the index knows a row by a hash of its id and text,
+    and rows that share one can only add candidates to each other. An empty table gives an empty result. Texts of any
+    length are scanned whole; where spans are placed, the work grows little faster than their number.
     """
-    keyed = packed(docs, id_col, text_col).withColumn("key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)).cast("long")))
-    masked = keyed.join(candidates(keyed), "key", "left")
-    none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>")
+    keyed = packed(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    looked_up = keyed.join(candidates(trigram_index(keyed)), "key", "left")
+    none = F.array().cast(SPANS)
     spans = []
     for r, rule in enumerate(RULES):
         if trigram_query(rule) is None:
             there = F.coalesce("text", F.lit("")).rlike(("(?i)" if rule.ignore_case else "") + rule.regex)
         else:
-            there = F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0
+            there = F.coalesce(F.array_contains("rules", r), F.lit(False))
         spans.append(F.when(there & F.col("text").isNotNull(), matches(F.col("text"), rule)).otherwise(none))
-    return masked.select("doc_id", "text", "others", F.array_sort(F.concat(*spans)).alias("found"))
+    return looked_up.select("doc_id", "text", "others", F.array_sort(F.concat(*spans)).alias("found"))
 
 
 def listed(spans: Column) -> Column:
@@ -176,17 +201,34 @@ def secret_report(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Code points of the pieces into which a text is cut where parts of it are taken.
+_PIECE = 4096
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each secret in ``text`` replaced by ``mark``; overlapping spans become one mark."""
+    """``docs`` with each secret in ``text`` replaced by ``mark``; overlapping spans become one mark.
+
+    All columns stay as they are, whatever their names; null and empty texts, null ids, repeated rows and empty tables
+    as in :func:`scan_secrets`. A part of a text is taken from the few pieces that hold it, so that the work grows with
+    the text and the number of its secrets, not with their product.
+    """
     scanned = scan_secrets(docs)
-    kind = "struct<at:int,out:string>"
-    # spans sorted by start: copy what lies between the end of all earlier spans and this one
-    done = F.aggregate(
-        "found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] >= acc["at"]) | (acc["at"] == 0), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ).cast(kind),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647))),
-    )
-    return unpacked(scanned.withColumn("text", F.when(F.size("found") > 0, done).otherwise(F.col("text"))), docs.columns)
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % _PIECE), F.lit(0))
+    reach = running(F.transform("found", lambda s: s["end"]), lambda a, b: F.greatest(a, b))  # the end of all spans so far
+    shown = scanned.withColumns({"reach": F.when(F.size("found") > 0, reach), "pieces": F.when(F.size("found") > 0, pieces)})
+
+    def part(start: Column, end: Column) -> Column:
+        """Code points [start, end) of the text."""
+        i, j = (F.floor(start / _PIECE).cast("int"), F.floor(end / _PIECE).cast("int"))
+        piece = lambda k: F.coalesce(F.get("pieces", k), F.lit(""))
+        inside = F.substring(piece(i), start % _PIECE + 1, end - start)
+        middle = F.array_join(F.slice("pieces", i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        across = F.concat(F.substring(piece(i), start % _PIECE + 1, F.lit(_PIECE)), middle, F.substring(piece(j), F.lit(1), end % _PIECE))
+        return F.when(end <= start, "").when(i == j, inside).otherwise(across)
+
+    # before each span: what no earlier span covers, and a mark unless it begins inside an earlier one
+    before = lambda k: F.when(k == 0, 0).otherwise(F.get("reach", k - 1))
+    kept = F.transform("found", lambda s, k: F.when((s["start"] >= before(k)) | (k == 0), F.concat(part(before(k), s["start"]), F.lit(mark))).otherwise(""))
+    rest = part(F.element_at("reach", -1), F.char_length("text"))
+    done = F.when(F.size("found") > 0, F.concat(F.array_join(kept, ""), rest)).otherwise(F.col("text"))
+    return unpacked(shown.withColumn("text", done), docs.columns)
