@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -142,21 +143,20 @@ def _in_order(batches):
 
 
 def _across(batches):
-    """The partitions' ends, in order: the last of one and the first of the next; after the very last, the very first."""
-    first = last = None
+    """Rows of (doc_id, text, next_id, next_text): the last document of a partition and the first of the next one."""
     for batch in batches:
-        for i, t, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            row = (i, t or "", fingerprint((t or "").encode()))
-            first = first or row
-            if place % 2 == 0 and last:
-                yield _compared([last], [row])
-            last = row
-    if last:
-        yield _compared([last], [first])
+        ids, texts, next_ids, next_texts = (batch.column(i).to_pylist() for i in range(4))
+        pair = lambda i, t: (i, t or "", fingerprint((t or "").encode()))
+        if ids:
+            yield _compared(list(map(pair, ids, texts)), list(map(pair, next_ids, next_texts)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fingerprint of every whole text; null texts count as empty. Nothing else is needed or shuffled."""
+    """doc_id and fingerprint of every whole text, of any length; null texts count as empty.
+
+    Null ids and repeated rows are kept, an empty table gives an empty result, other columns are ignored. Nothing is
+    shuffled.
+    """
 
     def run(batches):
         for batch in batches:
@@ -170,11 +170,17 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The order is descending doc_id; ties are in the order of the texts' hashes, null ids come last; after the last
     document comes the first. Null texts count as empty; a single document is its own next; an empty table gives an
-    empty result. The documents are range-partitioned once; only the two ends of each partition meet in one task.
+    empty result; other columns, whatever their names, are ignored. Texts of any length are hashed whole. The documents
+    are range-partitioned once; the last document of each partition is then joined with the first of the next one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     order = (F.desc_nulls_last("doc_id"), F.asc("h"))
     done = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_in_order, _SCHEMA), "fingerprints")
-    ends = done.where("place is not null").select("doc_id", "text", "place").repartition(1).sortWithinPartitions("place")
-    out = done.where("place is null").union(ends.mapInArrow(_across, _SCHEMA))
+    ends = done.where("place is not null").select("doc_id", "text", "place")
+    # of the places of ends (two numbers for each partition, no texts): which first one follows each last one, in a ring
+    places = ends.select("place").where("place % 2 = 0")
+    following = places.select((F.col("place") + 1).alias("place"), F.coalesce(F.lead("place").over(W.orderBy("place")), F.min("place").over(W.partitionBy())).alias("after"))
+    firsts = ends.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"), F.col("place").alias("after"))
+    pairs = ends.join(following, "place").join(firsts, "after").select("doc_id", "text", "next_id", "next_text")
+    out = done.where("place is null").union(pairs.mapInArrow(_across, _SCHEMA))
     return out.drop("text", "place")
