@@ -26,9 +26,19 @@ from pyspark.sql import functions as F
 
 from .common import new_path, staged
 
+# Code points (hexadecimal) that newer tables count as letters or numbers, but the tokenizer's don't.
+_NEWER = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959
+10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8
+16ebb-16ed3 16ff2-16ff3 16ff4-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2
+1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5
+1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+_NEWER = "".join("-".join(f"\\U{int(x, 16):08x}" for x in part.split("-")) for part in _NEWER.split())
+_LETTER, _NUMBER = rf"[\p{{L}}--[{_NEWER}]]", rf"[\p{{N}}--[{_NEWER}]]"
 # White space in the tokenizer's pattern, and that pattern.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_NUMBER}+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+", regex.V1)
 #: Whole stretches between white space: the pattern above never looks beyond one, so each different one is split once.
 _CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
@@ -251,11 +261,12 @@ class Encoder:
 
     def _word_ids(self, words: list[bytes]) -> list[np.ndarray]:
         numbers = self.lexicon.find(words)
-        missing = np.flatnonzero(numbers < 0).tolist()
-        merged = self.bpe.merge_all([words[i] for i in missing])
-        lo, hi, out = self.lexicon.out_at, self.lexicon.out_at[1:], self.lexicon.out
-        ids = [out[a:b] for a, b in zip(lo[numbers], hi[numbers])]
-        for i, m in zip(missing, merged):
+        there, missing = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0).tolist()
+        ids: list = [None] * len(words)
+        out = self.lexicon.out
+        for i, a, b in zip(there.tolist(), self.lexicon.out_at[numbers[there]], self.lexicon.out_at[numbers[there] + 1]):
+            ids[i] = out[a:b]
+        for i, m in zip(missing, self.bpe.merge_all([words[i] for i in missing])):
             ids[i] = m
         return ids
 
@@ -332,19 +343,22 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, size: int, text_col: str = "text") -> list[bytes]:
-    """The words that occur most often, at most ``size``, sorted; words that occur once are left out.
+    """The words that occur most often, about ``size`` at most, sorted; words that occur once are left out.
 
-    A histogram of the counts (a few hundred rows) gives the least count to take, so that no task sends more to the
-    driver than its share of the answer.
+    A histogram of the counts (a few hundred rows) gives the least count to take; of the last step of the histogram, that
+    share of words (by hash) which there is room for. So no task sends more to the driver than its share of the answer.
     """
     counts = staged(count_words(docs, text_col).where("n > 1 and length(word) <= 64").withColumn("step", F.floor(F.log2("n") * 16)), "word-counts")
-    least, total = 1 << 30, 0
+    least, total, share = 1 << 30, 0, 1.0
     for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
-        total += r["count"]
-        if total > size:
-            break
         least = r["step"]
-    return sorted(bytes(r["word"]) for r in counts.where(F.col("step") >= least).select("word").collect())
+        if total + r["count"] > size:
+            share = (size - total) / r["count"]
+            break
+        total += r["count"]
+    drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))
+    chosen = counts.where((F.col("step") > least) | ((F.col("step") == least) & drawn))
+    return sorted(bytes(r["word"]) for r in chosen.select("word").collect())
 
 
 def share_lexicon(docs: DataFrame, bpe: Bpe, size: int, text_col: str = "text") -> str:
@@ -378,7 +392,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_size: int = 1
 
     Columns: doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 (UTF-8), and
     with ``with_ids`` also ids and decoded. Null texts count as empty. Null ids and repeated rows are kept; an empty
-    table gives an empty result. ``lexicon_size`` bounds the automaton, not the words: all others are merged exactly.
+    table gives an empty result; other columns, whatever their names, are ignored. Texts of any length are encoded
+    whole. ``lexicon_size`` bounds the automaton, not the words: all others are merged exactly.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         source = f.read()
@@ -404,4 +419,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_size: int = 1
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string()), *more], names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, schema)
