@@ -7,7 +7,8 @@ the word: training alternates between choosing the words that witness a toxic do
 (multiple-instance learning). A document's score comes from its strongest words.
 
 A kernel machine over landmarks is linear in the subsequences, so it is folded into one weight for each subsequence of
-the landmarks, and every distinct word of a batch is scored once.
+the landmarks, and every distinct word of a batch is scored once. A document's score is the margin of a second support
+vector machine, over the values that the kernel machine gives its words, mapped to 0..1 by a fitted sigmoid.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    """Subsequence weights in an open hash table with linear probing, and the document layer."""
+    """Subsequence weights in an open hash table with linear probing, and the document layer (margin and sigmoid in one)."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -103,12 +104,7 @@ class Machine:
 
     def _values(self, words: list[str]) -> np.ndarray:
         out, bits = np.full(len(words), self.bias, np.float64), int(np.log2(len(self.keys)))
-        start = 0
-        while start < len(words):  # blocks bounded by characters: a word may be very long
-            end, size = start, 0
-            while end < len(words) and (size == 0 or size + len(words[end]) < 1 << 18):
-                size += len(words[end]) + 2
-                end += 1
+        for start, end in _blocks(words, 1 << 18):
             w, key, value = _features(words[start:end])
             slot = ((key * np.uint64(self.multiplier)) >> np.uint64(64 - bits)).astype(np.int64)
             got = np.where(self.keys[slot] == key, self.weights[slot], 0)
@@ -119,17 +115,20 @@ class Machine:
                 got[open_] = np.where(there == key[open_], self.weights[slot[open_]], 0)
                 open_ = open_[(there != key[open_]) & (there != _EMPTY)]
             out[start:end] += np.bincount(w, got * value, end - start)
-            start = end
         return out
 
     def documents(self, summary: np.ndarray) -> np.ndarray:
-        z = (summary - self.center) / self.scale
-        return 1 / (1 + np.exp(-np.clip(np.concatenate((z, np.ones((len(z), 1))), 1) @ self.final, -30, 30)))
+        z = np.concatenate(((summary - self.center) / self.scale, np.ones((len(summary), 1))), 1)
+        return _sigmoid(z @ self.final)
 
 
 TOP = 6
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 def summarise(values: np.ndarray) -> np.ndarray:
     """What the document layer sees of the values of a document's distinct words."""
     top = np.full(TOP, -1.5)
@@ -140,23 +139,38 @@ def summarise(values: np.ndarray) -> np.ndarray:
     return np.concatenate((top, [np.log1p(n), np.log1p(np.sum(values > 0)), np.log1p(np.sum(values > 0.5)), np.sum(values > 0) / (n + 5)]))
 
 
-def _kernel(words: list[str], landmark_keys: np.ndarray, landmark_rows: np.ndarray) -> np.ndarray:
-    """Kernel values of words and landmarks; ``landmark_rows``: for each known subsequence its weight in each landmark."""
+def _kernel(words: list[str], landmark_keys: np.ndarray, landmark_rows: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+    """Kernel values of words and landmarks; ``landmark_rows``: for each known subsequence its weight in each landmark.
+
+    Works through blocks of places, however long the words are.
+    """
     out = np.zeros((len(words), landmark_rows.shape[1]), np.float32)
-    for start in range(0, len(words), 500):
-        w, key, value = _features(words[start : start + 500])
+    for start, end in _blocks(words, 4096):
+        w, key, value = _features(words[start:end])
         at = np.searchsorted(landmark_keys, key)
         at[at == len(landmark_keys)] = 0
         ok = landmark_keys[at] == key
         w, at, value = w[ok], at[ok], value[ok]
-        order = np.argsort(w, kind="stable")
-        w, rows = w[order], landmark_rows[at[order]] * value[order, None]
-        if len(w):
-            heads = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-            out[start + w[heads]] = np.add.reduceat(rows, heads)
+        for k in range(0, len(w), block):
+            order = np.argsort(w[k : k + block], kind="stable") + k
+            rows = landmark_rows[at[order]] * value[order, None]
+            heads = np.flatnonzero(np.concatenate(([True], w[order][1:] != w[order][:-1])))
+            out[start + w[order][heads]] += np.add.reduceat(rows, heads)
     return out
 
 
+def _blocks(words: list[str], most: int):
+    """(start, end): runs of words of at most ``most`` characters together, or of one word."""
+    start = 0
+    while start < len(words):
+        end, size = start, 0
+        while end < len(words) and (size == 0 or size + len(words[end]) < most):
+            size += len(words[end]) + 2
+            end += 1
+        yield start, end
+        start = end
+
+
 def _fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by Newton steps on the rows inside the margin."""
     z = np.concatenate((x, np.ones((len(x), 1), x.dtype)), 1).astype(np.float64)
@@ -179,7 +193,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: in
     w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], penalty)
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        p = _sigmoid(z @ w)
         step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -187,8 +201,12 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: in
     return w
 
 
-def fit(texts: list[str], labels: list[int], landmarks: int = 320, rounds: int = 5, seed: int = 7) -> Machine:
-    """Train on whole labelled texts: the words first, then the document layer on what they say."""
+def fit(texts: list[str], labels: list[int], landmarks: int = 320, rounds: int = 5, seed: int = 7, hard: int = 12_000, easy: int = 8_000) -> Machine:
+    """Train on whole labelled texts: the words first, then the document layer on what they say.
+
+    ``hard``, ``easy``: of the words of clean documents, each round of the fit takes at most so many of those that look
+    worst (the ones that look so in most documents) and so many drawn from the rest.
+    """
     number: dict[str, int] = {}
     docs = [np.array(sorted({number.setdefault(u, len(number)) for u in units(t)}), np.int64) for t in texts]
     words, y = list(number), np.array(labels)
@@ -198,15 +216,18 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 320, rounds: int =
         n = TOP + 4
         m.center, m.scale, m.final = np.zeros(n), np.ones(n), np.append(np.zeros(n), np.log((base + 1e-3) / (1 - base + 1e-3)))
         return m
-    machine = _fit_words(words, docs, y, landmarks, rounds, seed)
+    machine = _fit_words(words, docs, y, landmarks, rounds, seed, hard, easy)
     values = machine.words(words)
     summary = np.stack([summarise(values[d]) for d in docs])
     machine.center, machine.scale = summary.mean(0), summary.std(0) + 1e-6
-    machine.final = _fit_logistic((summary - machine.center) / machine.scale, y.astype(float))
+    z = (summary - machine.center) / machine.scale
+    coefficient, bias = _fit_svm(z, np.where(y == 1, 1.0, -1.0), np.ones(len(y)))
+    slope, shift = _fit_logistic((z @ coefficient + bias)[:, None], y.astype(float), 1e-3)
+    machine.final = np.append(slope * coefficient, slope * bias + shift)
     return machine
 
 
-def _fit_words(words: list[str], docs: list[np.ndarray], y: np.ndarray, landmarks: int, rounds: int, seed: int) -> Machine:
+def _fit_words(words: list[str], docs: list[np.ndarray], y: np.ndarray, landmarks: int, rounds: int, seed: int, n_hard: int, n_easy: int) -> Machine:
     """The word machine, from documents as arrays of places in ``words``."""
     rng = np.random.default_rng(seed)
     # first guess: how much likelier a word's subsequences are in toxic documents than in clean ones
@@ -215,17 +236,17 @@ def _fit_words(words: list[str], docs: list[np.ndarray], y: np.ndarray, landmark
     n_docs = np.array([(y == 0).sum(), (y == 1).sum()], float)
     in_class = np.stack([np.bincount(flat, (y[doc] == c).astype(float), len(words)) for c in (0, 1)])
     del doc, flat
-    blocks = range(0, len(words), 5_000)
+    blocks = list(_blocks(words, 1 << 16))
     slot = lambda key: ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)).astype(np.int64)
     seen = np.zeros((2, 1 << 23), np.float32)
-    for start in blocks:
-        w, key, value = _features(words[start : start + 5_000])
+    for start, end in blocks:
+        w, key, value = _features(words[start:end])
         for c in (0, 1):
             seen[c] += np.bincount(slot(key), in_class[c][w + start] * value, 1 << 23) / n_docs[c]
     odds = np.log((seen[1] + 1e-3) / (seen[0] + 1e-3))
     values = np.zeros(len(words))
-    for start in blocks:
-        w, key, value = _features(words[start : start + 5_000])
+    for start, end in blocks:
+        w, key, value = _features(words[start:end])
         part = np.bincount(w, odds[slot(key)] * value)
         values[start : start + len(part)] = part
     machine = None
@@ -240,10 +261,10 @@ def _fit_words(words: list[str], docs: list[np.ndarray], y: np.ndarray, landmark
         positive = np.array(positive, np.int64)
         hard = [docs[d][np.argsort(-values[docs[d]])[:10]] for d in clean if len(docs[d])]
         inside, often = np.unique(np.concatenate([*hard, np.zeros(0, np.int64)]), return_counts=True)
-        best = np.argsort(-often, kind="stable")[:12_000]
+        best = np.argsort(-often, kind="stable")[:n_hard]
         inside, often = inside[best], often[best]
         clean_words = np.setdiff1d(np.flatnonzero(in_class[0] > 0), inside)
-        more = rng.choice(clean_words, min(len(clean_words), 8_000), replace=False)
+        more = rng.choice(clean_words, min(len(clean_words), n_easy), replace=False)
         negative, weight = np.concatenate((inside, more)), np.concatenate((often, np.full(len(more), 0.5)))
         distinct, times = np.unique(positive, return_counts=True)
         chance = times / times.sum()
@@ -271,10 +292,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 200_000) -> Machine:
     """Fit on at most ``max_rows`` labelled documents that aren't held out (a third of them toxic, if there are so many).
 
-    The sample is the rows of smallest hash, the same whatever the partitioning. Conflicting labels of one id count as
+    Of these, documents of more than ``max_chars`` characters are left out, so that the bytes of the sample are bounded,
+    too; they are scored like all others. The sample is the rows of smallest hash, the same whatever the partitioning. Conflicting labels of one id count as
     toxic; null labels, ids and texts are left out.
     """
     marked = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -283,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Machine:
         part = marked.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share)
         chosen = part if chosen is None else chosen.union(part)
     # at most max_rows ids; the sample is fitted in one task, whose memory that bounds
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = docs.select("doc_id", "text").where(F.char_length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
 
     def fitted(batches):
         texts, marks = [], []
@@ -306,8 +328,8 @@ class _Numbers(dict):
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text; null texts count as empty, and score as such.
 
-    ``keep``: text and others (all other columns) follow. Null ids and repeated rows stay; an empty table gives an empty
-    result.
+    ``keep``: text and others (all other columns, whatever their names, as a struct) follow. Null ids and repeated rows
+    stay; an empty table gives an empty result. Texts of any length are scored whole, from all of their words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
