@@ -1,21 +1,23 @@
 """Secret scans, license scans and sharding against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import licenses, secrets, sharding
 
-SCHEMA = "doc_id long, text string, key string, found int, mask string, row int, shard int, bucket int, others string"
+SCHEMA = "doc_id long, text string, key string, found int, rules string, `_` int, shard int, bucket int, others string, c0 int, words string, `a.b` int, n map<string,int>"
 
 
-def docs(spark, rows):
-    """Extra columns have names that the operators use inside."""
-    return spark.createDataFrame([(i, t, None, 1, "x", 2, 3, 4, None) for i, t in rows], SCHEMA).repartition(3)
+def docs(spark, rows, parts=3):
+    """Extra columns have names that the operators use inside, or that are hard to name."""
+    return spark.createDataFrame([(i, t, None, 1, "x", 2, 3, 4, None, 5, "w", 6, {"k": 7}) for i, t in rows], SCHEMA).repartition(parts)
 
 
 TEXTS = [
@@ -48,6 +50,54 @@ def test_secrets(spark):
     assert secrets.secret_report(docs(spark, [])).count() == 0
 
 
+def test_many_secrets_in_a_long_text(spark):
+    many = " ".join(f"é token={k:012d} AKIA{'Q' * 14} {'ab' * 9}" for k in range(20_000))
+    row = secrets.secret_report(docs(spark, [(1, many)])).first()
+    want = plain_secrets(many)
+    assert row["n_assign"] == row["n_access"] == 20_000 and row["n_hex"] == sum(x[1] == 2 for x in want)
+    assert row["base_sha256"] == hashlib.sha256(",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in want).encode()).hexdigest()
+    masked = secrets.redact(docs(spark, [(1, many)])).first()["text"]
+    assert masked == " ".join(["é [SECRET] [SECRET] [SECRET]"] * 20_000)
+
+
+def plain_redact(text):
+    spans = [(m[0], m[2]) for m in plain_secrets(text)]
+    for rule in secrets.MORE_RULES:
+        spans += [m.span() for m in re.finditer(rule.regex, text or "")]
+    out, at = "", 0
+    for k, (a, b) in enumerate(sorted(spans)):
+        if k == 0 or a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return None if text is None else out + text[at:]
+
+
+def test_redact_against_plain_python(spark):
+    rng = random.Random(4)
+    bits = ["password=", "token: ", "deadbeefdeadbeef0", "AKIA" + "Z" * 16, " é ", "x" * 5000, "ghp_" + "b" * 36, "=", '"', "abcdefghijkl", "😀", "\n"]
+    texts = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for k in range(200)] + TEXTS
+    got = secrets.redact(docs(spark, texts)).select("doc_id", "text").collect()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(((i, plain_redact(t)) for i, t in texts), key=key)
+
+
+def test_running_values(spark):
+    rng = random.Random(5)
+    for n in (0, 1, 255, 256, 257, 2000):
+        values = [rng.randrange(100) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        total, most = df.select(secrets.running(F.col("v"), lambda a, b: a + b), secrets.running(F.col("v"), lambda a, b: F.greatest(a, b))).first()
+        assert total == list(accumulate(values)) and most == list(accumulate(values, max))
+
+
+def test_postings_are_intersected(spark):
+    keyed = spark.createDataFrame([(1, "api_key"), (2, "api and key"), (3, "AKIA"), (4, "aki"), (5, None), (3, "AKIA")], "key long, text string")
+    index = secrets.trigram_index(keyed)
+    assert {(r["gram"], r["key"]) for r in index.where("gram = 'key'").collect()} == {("key", 1), ("key", 2)}
+    found = {r["key"]: sorted(secrets.RULES[k].kind for k in r["rules"]) for r in secrets.candidates(index).collect()}
+    assert found == {1: ["assign"], 3: ["access"]}
+
+
 def test_trigram_queries():
     queries = {r.kind: secrets.trigram_query(r) for r in secrets.RULES}
     assert queries["hex"] is None and frozenset({"aki", "kia"}) in queries["access"]
@@ -89,6 +139,17 @@ def test_licenses(spark):
     assert licenses.license_report(docs(spark, [])).count() == 0
 
 
+def test_license_texts_with_changed_words(spark):
+    """The key phrase must stand; of the other rare words of a template, enough."""
+    mit = next(t for t in licenses.TEMPLATES if t.label == "mit-text")
+    changed = mit.text.replace("obtaining", "getting").replace("documentation", "manual")
+    rows = [(1, mit.text), (2, changed), (3, mit.text.replace("hereby", "now")), (4, mit.key), (5, "Notes: " + changed.upper())]
+    labels = {r["doc_id"]: r["labels"] for r in licenses.license_report(docs(spark, rows)).collect()}
+    assert labels[1] == labels[2] == labels[5] == "mit-text" and labels[3] == "" and labels[4] == ""
+    postings, rare = licenses._lookup(licenses.frequencies(docs(spark, rows)))
+    assert "the" not in postings and sum(map(len, postings.values())) == len(licenses.TEMPLATES) and max(map(len, rare)) == licenses.RARE
+
+
 def test_sharding(spark):
     rows = [(i % 400, f"text {i} é") for i in range(1000)] + [(None, None)] * 3 + [(7, "same")] * 200 + [(8, "x" * 300_000)]
     out = sharding.shard_report(docs(spark, rows), bucket_bytes=4000).collect()
@@ -114,6 +175,22 @@ def test_shard_files_are_shuffled_and_whole(spark, tmp_path):
     assert moved > 100  # a random order moves records by a third of the length on average
 
 
+def test_shards_do_not_depend_on_splits(spark):
+    rows = [(i % 50, f"text {i % 70}") for i in range(2000)]
+    a, b = (sorted(map(tuple, sharding.shard_report(docs(spark, rows, parts), bucket_bytes=2000).collect())) for parts in (1, 7))
+    assert a == b
+
+
+def test_one_id_fills_many_buckets_and_copies_are_held_once(spark):
+    rows = spark.range(60_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 30_000).alias("text"), F.lit(1).alias("bucket"))
+    rows = rows.union(spark.range(40_000).select(F.lit(8).cast("long"), F.lit("x" * 100), F.lit(2)))
+    written = sharding.write_shards(rows, bucket_bytes=50_000).persist()
+    per = written.groupBy("shard", "bucket").agg(F.sum(F.when(F.col("doc_id") == 7, F.octet_length("text") + 1)).alias("bytes"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n"))
+    assert per.agg(F.max("bytes")).first()[0] < 100_000 and per.where("last + 1 != n").count() == 0
+    assert written.count() == 100_000 and written.select("others").distinct().count() == 2
+    written.unpersist()
+
+
 def test_slots_are_long(spark):
     assert dict(sharding.shard_report(docs(spark, [(1, "a")])).dtypes)["slot"] == "bigint"
     far = spark.createDataFrame([(0, 0, 5)], "shard int, bucket long, pos int").withColumn("pos", F.col("pos") + F.lit(1 << 32))

@@ -11,12 +11,12 @@ from plain import plain_components, plain_hits
 
 from graphloom.llm import bpe, components, decontaminate, fuzzy_hash, ngram_join, repeats, token_files, toxicity
 
-SCHEMA = "doc_id long, text string, n long, sig long, key long, score double, others string, h1 long"
+SCHEMA = "doc_id long, text string, n long, sig long, key long, score double, others string, h1 long, `_` int, c0 int, `a.b` string, root long, text_hash long"
 
 
 def docs(spark, rows, parts=3):
-    """Extra columns have names that the operators use inside."""
-    return spark.createDataFrame([(i, t, 1, 2, 3, 0.5, "o", None) for i, t in rows], SCHEMA).repartition(parts)
+    """Extra columns have names that the operators use inside, or that are hard to name."""
+    return spark.createDataFrame([(i, t, 1, 2, 3, 0.5, "o", None, 4, 5, "d", 6, 7) for i, t in rows], SCHEMA).repartition(parts)
 
 
 def rows_of(df, *names):
@@ -43,29 +43,52 @@ def some_texts(seed, n=60):
     return list(enumerate(out)) + [(None, "null id"), (None, None), (1000, None), (1001, ""), (1002, ""), (5, "ab ab " * 3000), (5, "ab ab " * 3000)]
 
 
-@pytest.mark.parametrize("seed,most", [(1, 8 << 20), (2, 100)])
+def covered(n, size, hits):
+    gone = np.zeros(n + 1, bool)
+    for k in hits:
+        gone[k : k + size] = True
+    return gone
+
+
+@pytest.mark.parametrize("seed,most", [(1, 1 << 20), (2, 100)])
 def test_repeats(spark, seed, most):
     """``most`` = 100 sends every shared minimizer through the counting of windows."""
-    rows, length = some_texts(seed), 40
-    counts = {}
-    for _, t in rows:
+    rows, length, passage = some_texts(seed), 40, 7
+    rng = random.Random(seed)
+    shared = " ".join(rng.choice(["ab", "c", "déf", "gh"]) for _ in range(passage))
+    rows += [(3000 + k, f"own{k} {shared} tail{k % 3} " + "x " * k) for k in range(40)]  # one minimizer in many contexts
+    rows += [(4000, " ".join(f"{k}a {' '.join(str(j) for j in range(90, 99))}" for k in range(5)))]  # repeats in itself alone
+    counts, holders = {}, {}
+    for d, (_, t) in enumerate(rows):
         b = (t or "").encode()
+        w = b.split()
         for k in range(len(b) - length + 1):
             counts[b[k : k + length]] = counts.get(b[k : k + length], 0) + 1
+        for k in range(len(w) - passage + 1):
+            holders.setdefault(tuple(w[k : k + passage]), set()).add(d)
     want = []
     for i, t in rows:
         b = (t or "").encode()
-        gone = np.zeros(len(b) + 2, bool)
-        for k in range(len(b) - length + 1):
-            if counts[b[k : k + length]] > 1:
-                gone[k + 1 : k + 1 + length] = True
-        kept = bytes(c for c, g in zip(b, gone[1:]) if not g)
-        want.append((i, len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
-    out = repeats.remove_repeats(docs(spark, rows), length=length, most=most, with_kept=True)
-    assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=lambda r: [(x is not None, x) for x in r])
+        w = b.split()
+        gone = covered(len(b), length, [k for k in range(len(b) - length + 1) if counts[b[k : k + length]] > 1])
+        passages = covered(len(w), passage, [k for k in range(len(w) - passage + 1) if len(holders[tuple(w[k : k + passage])]) > 1])
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        spans = int((np.diff(np.concatenate(([0], gone[: len(b)].view(np.int8)))) == 1).sum())
+        want.append((i, len(b), int(gone[: len(b)].sum()), spans, hashlib.sha256(kept).hexdigest(), int(passages[: len(w)].sum())))
+    assert 0 < next(x for x in want if x[0] == 3001)[5] and next(x for x in want if x[0] == 4000)[5] == 0
+    out = repeats.remove_repeats(docs(spark, rows), length=length, passage=passage, most=most, with_kept=True)
+    assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words") == sorted(want, key=lambda r: [(x is not None, x) for x in r])
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in out.collect())
 
 
+def test_repeats_in_very_long_texts(spark):
+    rng = random.Random(9)
+    long = bytes(rng.choice(b"abcdefgh ") for _ in range(1_500_000)).decode()
+    rows = [(1, long), (2, "x" + long[500_000:500_399]), (3, "y" + long[700_000:700_400] + "z"), (4, "a" * 300_000)]
+    got = rows_of(repeats.remove_repeats(docs(spark, rows)), "doc_id", "n_removed", "n_spans")
+    assert got == [(1, 400, 1), (2, 0, 0), (3, 400, 1), (4, 300_000, 1)]
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
     assert rows_of(repeats.remove_repeats(docs(spark, [(1, None)])), "n_bytes", "n_removed", "n_spans") == [(0, 0, 0)]
@@ -75,7 +98,7 @@ def test_run_index():
     rng = random.Random(3)
     base = bytes(rng.choice(b"ab") for _ in range(300))
     strings = [base, base[:150] + b"X" + base[150:], base[20:], b"q"]
-    index = repeats.RunIndex(strings)
+    index = repeats.RunIndex([np.frombuffer(x, np.uint8) for x in strings])
     text = b"".join(s + bytes([1 + k]) for k, s in enumerate(strings))  # end marks of their own
     assert index.runs < index.n
     match, other = index.matching_statistics()
@@ -113,6 +136,8 @@ def test_fingerprints(spark):
     only = fuzzy_hash.fingerprint_report(docs(spark, [(1, "abcdé")])).first()
     assert only["edited_sha256"] == hashlib.sha256("abcab".encode()).hexdigest()
     assert fuzzy_hash.fingerprint_report(docs(spark, [])).count() == 0
+    pair = {r["doc_id"]: r for r in fuzzy_hash.fingerprint_report(docs(spark, [(1, "abcd"), (2, "wxyz")])).collect()}
+    assert pair[1]["edited_sha256"] == hashlib.sha256(b"abwx").hexdigest() and pair[2]["edited_sha256"] == hashlib.sha256(b"wxab").hexdigest()
     assert fuzzy_hash.fingerprints(docs(spark, [(1, None)])).first()["fingerprint"] == "0::"
 
 
@@ -185,6 +210,18 @@ def test_toxicity_keeps_every_weight():
     assert np.allclose(machine._values([*words, "unknown ünknown"]), want, atol=1e-6)
 
 
+def test_toxicity_of_endless_words(spark):
+    """One word of 1.5 million characters in a training text, and in a text to score."""
+    endless = "".join(chr(0x4E00 + k * k % 5000) for k in range(1_500_000))
+    rows = labelled(120)
+    fitted = toxicity.fit([t for _, t, _ in rows] + [endless], [y for _, _, y in rows] + [0])
+    values = fitted.words(["blockhead", endless, "aeiou"])
+    assert values[0] > max(values[1:])
+    d = docs(spark, [(i, t) for i, t, _ in rows] + [(1, endless)])
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    assert toxicity.score(d, toxicity.train(d, labels)).count() == 121
+
+
 def tokenizer_path(name):
     return pytest.importorskip("public_tokenizers").path(name)
 
@@ -211,6 +248,33 @@ def test_bpe(spark):
     assert bpe.encode_documents(docs(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(1, "hello world again")], [(1, "")], [(1, "a a b b c c"), (2, "a b c")]])
+def test_bpe_with_an_empty_or_cut_lexicon(spark, rows):
+    """No word occurs twice, or more words than there is room for occur equally often."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    for size in (0, 1, 1 << 16):
+        out = bpe.encode_documents(docs(spark, rows), path, size, with_ids=True)
+        assert {r["doc_id"]: r["ids"] for r in out.collect()} == {i: t.encode(x, add_special_tokens=False).ids for i, x in rows}
+
+
+def test_bpe_knows_the_same_letters():
+    """Every code point before and after a letter, a digit and a suffix is split as the library splits it."""
+    from tokenizers import pre_tokenizers
+
+    plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    at = 0
+    for start in range(0, 0x110000, 4096):
+        chars = [chr(c) for c in range(start, min(start + 4096, 0x110000)) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}1{c}'s!{c}" for c in chars)
+        want = [text[a:b] for _, (a, b) in plain.pre_tokenize_str(text)]
+        assert bpe._WORDS.findall(text) == want
+        at += len(want)
+    assert at > 2_000_000
+
+
 def test_lexicon():
     words = sorted({b"ab", b"abc", b"b", b"bc", b"xbc", "é".encode(), b"a"})
     lexicon = bpe.Lexicon.compile(words, [np.array([k, k + 1]) for k in range(len(words))])
@@ -323,6 +387,11 @@ def test_decontaminate(spark):
     assert rows_of(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=key)
     span = next(r for r in out.collect() if r["doc_id"] == 2)["spans"]
     assert [rows[1][1][s["start"] : s["end"]] for s in span] == ["été 42"]
+    many = "one two three FOUR é, " * 60_000  # as many spans as passages
+    out = decontaminate.decontaminate(docs(spark, [(1, many)]), spark.createDataFrame([(1, "two three")], bench.schema)).first()
+    assert len(out["spans"]) == 60_000 and {many[s["start"] : s["end"]] for s in out["spans"]} == {"two three"}
+    with pytest.raises(ValueError, match="states"):
+        decontaminate.decontaminate(docs(spark, rows), bench, max_states=3)
     assert decontaminate.decontaminate(docs(spark, []), bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs(spark, rows), bench.where("false")).collect())
     with pytest.raises(ValueError):
