@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terms import BLANK, IRI, LANG, PLAIN, TYPED, Const
+from .terms import BLANK, IRI, LANG, PLAIN, TYPED, Const, same
 
 
 def is_iri(v: Column) -> Column:
@@ -25,7 +25,7 @@ def is_numeric(v: Column) -> Column:
 
 
 def same_term(v: Column, other: Column | Const) -> Column:
-    return v["id"] == (other.id() if isinstance(other, Const) else other["id"])
+    return same(v, other.column() if isinstance(other, Const) else other)
 
 
 def compatible(v: Column, lang: str | None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters
-from ..functions.terms import Const, sort_key
+from ..functions.terms import Const, key, sort_key
 from ..plans.algebra import Filter, Var
 
 
@@ -50,18 +50,18 @@ def sort(df: DataFrame, names) -> DataFrame:
 def unique(df: DataFrame) -> DataFrame:
     """Distinct rows by term identity, in the order of all variables."""
     names = df.columns
-    keyed = df.groupBy(*[F.col(n)["id"].alias(f"__{n}") for n in names]).agg(*[F.first(n).alias(n) for n in names])
+    keyed = df.groupBy(*[key(F.col(n)).alias(f"__{n}") for n in names]).agg(*[F.first(n).alias(n) for n in names])
     return sort(keyed.select(*names), names)
 
 
 def group_count(df: DataFrame, name: str) -> DataFrame:
     """The group term and n, its number of rows; an unbound group is a group."""
     _known(df, name)
-    return df.groupBy(F.col(name)["id"].alias("__id")).agg(F.first(name).alias(name), F.count(F.lit(1)).alias("n")).select(name, "n")
+    return df.groupBy(key(F.col(name)).alias("__id")).agg(F.first(name).alias(name), F.count(F.lit(1)).alias("n")).select(name, "n")
 
 
 def aggregate(df: DataFrame, name: str, how: str, value: str) -> DataFrame:
     _known(df, name, value)
     if how not in ("sum", "avg", "min", "max"):
         raise ValueError(f"no aggregate named {how}")
-    return df.groupBy(F.col(name)["id"].alias("__id")).agg(F.first(name).alias(name), getattr(F, how)(F.col(value)["num"]).alias(how)).select(name, how)
+    return df.groupBy(key(F.col(name)).alias("__id")).agg(F.first(name).alias(name), getattr(F, how)(F.col(value)["num"]).alias(how)).select(name, how)

@@ -1,7 +1,7 @@
 """Transitive closure of one predicate by semi-naive rounds.
 
 Each round joins the pairs that were new in the last one, keeps those not seen before and writes them to the shared
-folder: the lineage stays one round long and the result survives lost executors. Only ids travel through the rounds;
+folder: the lineage stays one round long and the result survives lost executors. Only keys travel through the rounds;
 terms are attached once at the end. With a bound start the rounds follow the frontier; with free starts new pairs are
 joined with all pairs on both sides, so the number of rounds grows with the logarithm of the longest path.
 """
@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import Const
+from ..functions.terms import KEY, Const, key
 from ..plans.algebra import Path, Pattern, Var
 from ..scratch import new_path, releasing
 from .patterns import join, matching
 
-_PAIR = "s long, o long"
+_PAIR = f"s {KEY}, o {KEY}"
 
 
 def _rounds(first: DataFrame, step) -> DataFrame:
@@ -54,32 +54,32 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
 def path(source, op: Path, left: DataFrame | None = None) -> DataFrame:
     """Bindings of a path's ends; with ``left``, joined to the rows that earlier operators made."""
     triples = matching(source, Pattern(Var("s"), op.p, Var("o")))
-    ids = triples.select(F.col("s.id").alias("s"), F.col("o.id").alias("o"))
+    ids = triples.select(key(F.col("s")).alias("s"), key(F.col("o")).alias("o"))
     back = ids.select(F.col("o").alias("s"), F.col("s").alias("o"))
     bound = lambda n: left is not None and isinstance(n, Var) and n.name in left.columns
-    one = lambda c: source.spark.range(1).select(c.id().alias("s"))
+    one = lambda c: source.spark.range(1).select(c.key().alias("s"))
     if isinstance(op.s, Const):
         pairs = closure(ids, one(op.s))
     elif bound(op.s):
-        pairs = closure(ids, left.select(F.col(op.s.name)["id"].alias("s")))
+        pairs = closure(ids, left.select(key(F.col(op.s.name)).alias("s")))
     elif isinstance(op.o, Const):
         pairs = closure(back, one(op.o)).select(F.col("o").alias("s"), F.col("s").alias("o"))
     elif bound(op.o):
-        pairs = closure(back, left.select(F.col(op.o.name)["id"].alias("s"))).select(F.col("o").alias("s"), F.col("s").alias("o"))
+        pairs = closure(back, left.select(key(F.col(op.o.name)).alias("s"))).select(F.col("o").alias("s"), F.col("s").alias("o"))
     else:
         pairs = closure(ids)
-    ends = triples.select(F.col("s").alias("t")).union(triples.select(F.col("o").alias("t"))).groupBy("t.id").agg(F.first("t").alias("t"))
+    ends = triples.select(F.col("s").alias("t")).union(triples.select(F.col("o").alias("t"))).groupBy(key(F.col("t")).alias("id")).agg(F.first("t").alias("t"))
     if op.kind == "*":
         zero = ends.select(F.col("id").alias("s"), F.col("id").alias("o"))
         if isinstance(op.s, Const):  # a constant reaches itself even if the predicate doesn't touch it
             me = op.s.column()
-            ends = ends.union(source.spark.range(1).select(me["id"].alias("id"), me.alias("t"))).groupBy("id").agg(F.first("t").alias("t"))
+            ends = ends.union(source.spark.range(1).select(key(me).alias("id"), me.alias("t"))).groupBy("id").agg(F.first("t").alias("t"))
             zero = zero.union(one(op.s).select("s", F.col("s").alias("o")))
         pairs = pairs.union(zero).distinct()
     if isinstance(op.s, Const):
-        pairs = pairs.where(F.col("s") == op.s.id())
+        pairs = pairs.where(F.col("s") == op.s.key())
     if isinstance(op.o, Const):
-        pairs = pairs.where(F.col("o") == op.o.id())
+        pairs = pairs.where(F.col("o") == op.o.key())
     if isinstance(op.s, Var) and op.s == op.o:
         pairs = pairs.where("s = o")
     columns = []

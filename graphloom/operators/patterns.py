@@ -11,14 +11,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import IRI, Const
+from ..functions.terms import IRI, Const, same
 from ..plans.algebra import Pattern, Var
+from ..plans.order import ordered
 
 
 def constant_condition(term: Column, node) -> Column:
     if isinstance(node, tuple):
-        return term["id"].isin(*[n.id() for n in node]) if node else F.lit(False)
-    return term["id"] == node.id()
+        return term["id"].isin(*[n.id() for n in node]) & term["id2"].isin(*[n.column()["id2"] for n in node]) if node else F.lit(False)
+    return same(term, node.column())
 
 
 def matching(source, pattern: Pattern) -> DataFrame:
@@ -34,7 +35,7 @@ def matching(source, pattern: Pattern) -> DataFrame:
     for c, node in places.items():
         if isinstance(node, Var):
             if node.name in first:
-                df = df.where(F.col(first[node.name])["id"] == F.col(c)["id"])
+                df = df.where(same(F.col(first[node.name]), F.col(c)))
             else:
                 first[node.name] = c
     return df
@@ -55,7 +56,7 @@ def join(left: DataFrame, right: DataFrame) -> DataFrame:
     if not shared:
         return left.crossJoin(right)
     renamed = right.select(*[F.col(c).alias(f"__{c}" if c in shared else c) for c in right.columns])
-    condition = reduce(lambda a, b: a & b, [left[c]["id"] == renamed[f"__{c}"]["id"] for c in shared])
+    condition = reduce(lambda a, b: a & b, [same(left[c], renamed[f"__{c}"]) for c in shared])
     return left.join(renamed, condition).drop(*[f"__{c}" for c in shared])
 
 
@@ -79,12 +80,15 @@ def _stars(source, patterns: tuple[Pattern, ...]) -> list[tuple[DataFrame, list[
 
 
 def bgp(source, patterns: tuple[Pattern, ...]) -> DataFrame:
-    """Join of all patterns, in the order given (stars move to their first pattern)."""
-    frames = [df for df, _ in _stars(source, patterns)]
+    """Join of all patterns: the most selective first, then always one that shares a variable with those before.
+
+    The columns stand in the order in which the patterns, as given, name them.
+    """
+    frames = [df for df, _ in _stars(source, ordered(patterns))]
     # a later frame that shares a variable goes first, so that products stay as small as the query allows
     out, rest = frames[0], frames[1:]
     while rest:
         nxt = next((f for f in rest if set(f.columns) & set(out.columns)), rest[0])
         rest.remove(nxt)
         out = join(out, nxt)
-    return out
+    return out.select(*dict.fromkeys(v for p in patterns for v in p.variables()))

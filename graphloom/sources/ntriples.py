@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..functions.terms import XSD
 
-# A fixed pattern: subject, predicate, object, literal body, language, datatype.
-LINE = r'^\s*(<[^>]*>|_:[^\s<"]+)\s*(<[^>]*>)\s*(<[^>]*>|_:[^\s<"]*[^\s<".]|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
+# A fixed pattern: subject, predicate, object, literal body, language, datatype. Its possessive quantifiers run in loops,
+# not by recursion, so that a literal of any length costs no stack.
+LINE = r'^\s*(<[^>]*>|_:[^\s<"]+)\s*(<[^>]*>)\s*(<[^>]*>|_:[^\s<"]*[^\s<".]|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
 _SIMPLE = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
 
@@ -28,43 +29,65 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("\\"), F.array_join(F.transform(pieces, resolved), "")).otherwise(text)
 
 
-def _resource(token: Column, scope: int) -> Column:
-    return F.when(token.startswith("<"), T.iri(unescape(F.substring(token, F.lit(2), F.length(token) - 2)))).otherwise(T.blank(F.concat(F.lit(f"b{scope}b"), F.substring(token, F.lit(3), F.length(token)))))
+def file_scope(scope: int, path: Column) -> Column:
+    """The scope of the blank nodes of one file: the load and a hash of the file's whole path."""
+    return F.concat(F.lit(f"{scope}x"), F.lower(F.hex(F.xxhash64(path))))
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: no later filter or projection is folded into it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _fields(lines: DataFrame, scope: Column) -> DataFrame:
+    """``lines`` with ``f``: kind and text of the subject, text of the predicate, and all about the object; one pass of
+    the pattern. A line that is no triple has a null kind."""
+    kept = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    good = ~F.col("value").contains("\n") & F.col("value").rlike(".")
+    cut = _once(kept, "g", F.when(good, F.split(F.regexp_replace("value", LINE, "$1\n$2\n$3\n$4\n$5\n$6"), "\n", -1)))
+    s, p, o, body, lang, dt = (F.col("g")[k] for k in range(6))
+    is_blank = lambda token: token.startswith("_:")
+    inside = lambda token: F.substring(token, F.lit(2), F.length(token) - 2)
+    label = lambda token: F.concat(F.lit("b"), scope, F.lit("b"), F.substring(token, F.lit(3), F.length(token)))
+    literal = o.startswith('"')
+    kind = lambda token: F.when(is_blank(token), T.BLANK).otherwise(T.IRI)
+    o_kind = F.when(~literal, kind(o)).when(lang != "", T.LANG).when((dt != "") & (dt != XSD + "string"), T.TYPED).otherwise(T.PLAIN)
+    triple = F.size("g") == 6
+    fields = F.struct(
+        F.when(triple, kind(s)).alias("s_kind"), F.when(is_blank(s), label(s)).otherwise(unescape(inside(s))).alias("s"), unescape(inside(p)).alias("p"),
+        F.when(triple, o_kind).alias("kind"), F.when(is_blank(o), label(o)).otherwise(unescape(F.when(literal, body).otherwise(inside(o)))).alias("lex"),
+        F.when(literal & (lang != ""), T.normal_language(lang)).alias("lang"), F.when(literal & (dt != "") & (dt != XSD + "string"), dt).alias("dt"),
+    )
+    return _once(cut, "f", F.when(triple, fields)).drop("g")
 
 
-def parse(lines: DataFrame, scope: int = 1, on_invalid: str = "drop") -> DataFrame:
-    """lines (value) -> s, p, o. Comments and blank lines are skipped.
+def parse(lines: DataFrame, scope: int | Column = 1, on_invalid: str = "drop") -> DataFrame:
+    """lines (value) -> s, p, o. Comments and blank lines are skipped; a literal may be as long as a line may be.
 
-    ``on_invalid``: what happens to lines that are no triple and to literals of invalid form: ``drop``, ``keep`` (such
-    literals stay, with no number) or ``fail``.
+    ``scope`` tells the blank nodes of these lines from others. ``on_invalid``: what happens to lines that are no triple
+    and to literals of invalid form: ``drop``, ``keep`` (such literals stay, with no number) or ``fail``.
     """
-    part = lambda k: F.regexp_extract("value", LINE, k)
-    cut = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$")).select("value", *[part(k).alias(f"g{k}") for k in range(1, 7)])
-    literal = F.col("g3").startswith('"')
-    body = unescape(F.col("g4"))
-    o = (
-        F.when(~literal, _resource(F.col("g3"), scope))
-        .when(F.col("g5") != "", T.tagged(body, F.col("g5")))
-        .when((F.col("g6") != "") & (F.col("g6") != XSD + "string"), T.typed(body, F.col("g6")))
-        .otherwise(T.plain(body))
-    )
-    triples = cut.select("g1", "value", _resource(F.col("g1"), scope).alias("s"), _resource(F.col("g2"), scope).alias("p"), o.alias("o"))
-    wrong = (F.col("g1") == "") | (F.lit(on_invalid != "keep") & ~T.valid(F.col("o")))
+    read = _fields(lines, scope if isinstance(scope, Column) else F.lit(str(scope)))
+    f = F.col("f")
+    wrong = f.isNull() if on_invalid == "keep" else f.isNull() | ~T.valid(f)
     if on_invalid == "fail":
-        checked = F.when(wrong, F.raise_error(F.concat(F.lit("invalid triple: "), F.col("value")))).otherwise(F.lit(True))
-        return triples.where(checked).select("s", "p", "o")
-    return triples.where(~wrong).select("s", "p", "o")
+        kept = read.where(F.when(wrong, F.raise_error(F.concat(F.lit("invalid triple: "), F.col("value")))).otherwise(F.lit(True)))
+    else:
+        kept = read.where(~wrong)
+    number = F.when(f["dt"].isin(*T.NUMERIC), T.number(f["lex"]))
+    return kept.select(T.make(f["s_kind"], f["s"]).alias("s"), T.iri(f["p"]).alias("p"), T.make(f["kind"], f["lex"], f["lang"], f["dt"], number).alias("o"))
 
 
 def rejected(lines: DataFrame) -> DataFrame:
     """The lines that an import drops, to be counted and reported."""
-    part = lambda k: F.regexp_extract("value", LINE, k)
-    o = F.when(part(5) != "", T.tagged(part(4), part(5))).when(part(6) != "", T.typed(unescape(part(4)), part(6))).otherwise(T.plain(part(4)))
-    return lines.where(~F.col("value").rlike(r"^\s*(#.*)?$")).where((part(1) == "") | ~T.valid(o)).select("value")
+    f = F.col("f")
+    return _fields(lines, F.lit("")).where(f.isNull() | ~T.valid(f)).select("value")
 
 
 def read(spark: SparkSession, path: str, scope: int = 1, on_invalid: str = "drop") -> DataFrame:
-    return parse(spark.read.text(path), scope, on_invalid)
+    """Each file has blank nodes of its own."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    return parse(lines, file_scope(scope, F.col("path")), on_invalid)
 
 
 def escaped(lex: Column) -> Column:

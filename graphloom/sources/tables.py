@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
@@ -95,6 +96,7 @@ class TableGraph:
             P + "role": ("conversations", lambda d: d.select(self._turn(F.col("turn")).alias("s"), T.plain(F.col("role")).alias("o"))),
             P + "said": ("conversations", lambda d: d.select(self._turn(F.col("turn")).alias("s"), T.plain(F.col("text")).alias("o"))),
             P + "next": ("conversations", self._next),
+            P + "follows": ("orders", self._follows),
         }
 
     @staticmethod
@@ -105,6 +107,11 @@ class TableGraph:
         later = d.select("conv_id", (F.col("turn") - 1).alias("turn"))
         return d.select("conv_id", "turn").join(later, ["conv_id", "turn"]).select(self._turn(F.col("turn")).alias("s"), self._turn(F.col("turn") + 1).alias("o"))
 
+    def _follows(self, d: DataFrame) -> DataFrame:
+        """The next order of the same customer."""
+        later = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+        return d.select("o_orderkey", later.alias("later")).where("later is not null").select(subject("orders", F.col("o_orderkey")).alias("s"), subject("orders", F.col("later")).alias("o"))
+
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 

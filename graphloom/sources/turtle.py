@@ -1,5 +1,7 @@
 """Turtle files. Statements span lines, so a file is parsed whole in one task; many files are parsed in parallel.
 
+For small files only: one beyond ``max_bytes`` fails the query. Bulk loads go through N-Triples, which split by line.
+
 Covered: prefixes and base, ``a``, predicate and object lists, blank-node property lists, collections, short and long
 strings, language tags, datatypes, and bare numbers and booleans.
 """
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..functions.terms import RDF_TYPE, XSD
 from ..shipping import ship
+from .ntriples import file_scope
 
 _RDF = RDF_TYPE.removesuffix("type")
 _TOKEN = re.compile(
@@ -35,7 +38,7 @@ def _unescape(text: str) -> str:
 class _File:
     """Recursive descent over one text; a term is (kind, lex, lang, dt)."""
 
-    def __init__(self, text: str, scope: int, label: str):
+    def __init__(self, text: str, scope: str):
         self.tokens, at = [], 0
         while at < len(text):
             m = _TOKEN.match(text, at)
@@ -45,7 +48,7 @@ class _File:
             if m.lastgroup != "skip":
                 self.tokens.append((m.lastgroup, m[0]))
         self.at, self.base, self.prefixes, self.out = 0, "", {}, []
-        self.blank_head, self.fresh = f"b{scope}b{label}", 0
+        self.blank_head, self.fresh = f"b{scope}b", 0
 
     def take(self, expected: str | None = None) -> tuple[str, str]:
         if self.at >= len(self.tokens) or (expected and self.tokens[self.at][1] != expected):
@@ -143,19 +146,23 @@ _FIELDS = ("kind", "lex", "lang", "dt")
 _SCHEMA = ", ".join(f"{c}{f} {'tinyint' if f == 'kind' else 'string'}" for c in "spo" for f in _FIELDS)
 
 
-def read(spark: SparkSession, path: str, scope: int = 1, on_invalid: str = "drop") -> DataFrame:
-    """s, p, o of the Turtle files at ``path``. A file that is no Turtle fails the query."""
+def read(spark: SparkSession, path: str, scope: int = 1, on_invalid: str = "drop", max_bytes: int = 64 << 20) -> DataFrame:
+    """s, p, o of the Turtle files at ``path``. A file that is no Turtle, or larger than ``max_bytes``, fails the query.
+
+    Each file has blank nodes of its own.
+    """
     ship(spark)
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                label = re.sub(r"\W", "", name.rpartition("/")[2]) + "x"
-                rows = [[x for term in t for x in term] for t in _File(content.decode("utf-8-sig"), scope, label).parse()]
+                rows = [[x for term in t for x in term] for t in _File(content.decode("utf-8-sig"), name).parse()]
                 columns = list(zip(*rows)) or [()] * 12
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int8() if k % 4 == 0 else pa.string()) for k, c in enumerate(columns)], names=[c + f for c in "spo" for f in _FIELDS])
 
-    parsed = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _SCHEMA)
+    files = spark.read.format("binaryFile").load(path)
+    small = F.when(F.col("length") > max_bytes, F.raise_error(F.concat(F.lit(f"Turtle file beyond {max_bytes} bytes, use N-Triples: "), F.col("path")))).otherwise(F.lit(True))
+    parsed = files.where(small).select(file_scope(scope, F.col("path")), "content").mapInArrow(run, _SCHEMA)
 
     def term(c):
         kind, lex, lang, dt = (F.col(c + f) for f in _FIELDS)

@@ -251,6 +251,86 @@ def test_blank_scopes(spark, tmp_path):
     assert g.size() == 2 and g.bgp(("?x", "http://e/p", "?x")).select("x.id").distinct().count() == 2
 
 
+def blank_subjects(g):
+    return {r[0] for r in g.triples().select("s.lex").collect()}
+
+
+def test_each_file_has_blank_nodes_of_its_own(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.nt").write_text("_:a <http://e/p> _:a .\n_:a <http://e/q> _:b .\n")
+        (tmp_path / folder / "a.ttl").write_text("_:a <http://e/p> _:a . [] <http://e/q> _:a .")
+        (tmp_path / folder / "a-.ttl").write_text("_:a <http://e/p> _:a . [] <http://e/q> _:a .")
+    nt = TripleStore.from_ntriples(spark, str(tmp_path / "*" / "*.nt"))
+    assert nt.size() == 4 and len(blank_subjects(nt)) == 2 and nt.bgp(("?x", "http://e/p", "?x"), ("?x", "http://e/q", "?y")).count() == 2
+    ttl = TripleStore.from_turtle(spark, str(tmp_path / "*" / "*.ttl"))
+    assert ttl.size() == 8 and len(blank_subjects(ttl)) == 8 and ttl.bgp(("?x", "http://e/p", "?x"), ("?y", "http://e/q", "?x")).count() == 4
+    both = nt.load(str(tmp_path / "x" / "a.nt"))
+    assert len(blank_subjects(both)) == 3
+
+
+def test_scopes_go_on_after_a_snapshot(spark, tmp_path):
+    (tmp_path / "a.nt").write_text("_:a <http://e/p> _:a .\n")
+    g = TripleStore.from_ntriples(spark, str(tmp_path / "a.nt"))
+    for k in range(2):
+        g.save(str(tmp_path / f"snap{k}"))
+        g = TripleStore.from_snapshot(spark, str(tmp_path / f"snap{k}")).load(str(tmp_path / "a.nt"))
+    assert g.size() == 3 and len(blank_subjects(g)) == 3
+
+
+def test_long_literals(spark, tmp_path):
+    """Ten million characters, and as many escapes as a pattern that recurses could not take."""
+    long, escapes = "x" * 10_000_000, "\\n" * 200_000
+    (tmp_path / "a.nt").write_text(f'<http://e/s> <http://e/p> "{long}" .\n<http://e/s> <http://e/q> "{escapes}"@en .\n<http://e/s> <http://e/r> "open {long} .\n')
+    g = TripleStore.from_ntriples(spark, str(tmp_path / "a.nt"))
+    assert {(r[0], r[1]) for r in g.triples().select("p.lex", F.length("o.lex")).collect()} == {("http://e/p", 10_000_000), ("http://e/q", 200_000)}
+    assert g.match(None, "http://e/q", None).where(F.col("o.lex") == "\n" * 200_000).count() == 1
+
+
+def test_terms_with_one_hash_stay_apart(spark):
+    """A forced collision of ``id``: joins, grouping, distinct, filters and paths go by the second hash, too."""
+    t = iri(F.col("x"))
+    forced = F.struct(F.lit(1).cast("long").alias("id"), *[t[f].alias(f) for f in ("id2", "kind", "lex", "lang", "dt", "num")])
+    rows = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "x string, y string")
+    s = rows.select(forced.alias("s"), iri(F.lit("http://e/p")).alias("p"), "y")
+    triples = s.withColumn("x", F.col("y")).select("s", "p", forced.alias("o"))
+    g = TripleStore.empty(spark).add(triples)
+    assert g.bgp(("?a", "http://e/p", "?b"), ("?b", "http://e/p", "?c")).count() == 2
+    assert g.bgp(("?a", "http://e/p", "?a")).count() == 0
+    assert g.query().path("?a", "http://e/p", "?b").count() == 6
+    q = g.query().bgp(("?a", "http://e/p", "?b"))
+    assert q.project("a").unique().count() == 3 and q.count_by("a").to_df().count() == 3 and q.filter("a", "sameterm", Var("b")).count() == 0
+    assert g.dedup().size() == 3 and g.terms().count() == 5 and g.nodes().count() == 4
+    key = g.triples().where("s.lex = 'b'").first()["s"]
+    assert g.match_ids(s=key).count() == 1 and g.match_ids(s=1).count() == 3 and g.term(key).count() == 1
+
+
+def test_snapshot_access_paths(spark, small, tmp_path):
+    """A constant subject or object reaches the scan; files are in the order of subjects and know their objects."""
+    import pyarrow.parquet as pq
+
+    many = spark.range(5000).select(iri(F.concat(F.lit("http://e/s"), "id")).alias("s"), iri(F.lit("http://e/p")).alias("p"), iri(F.concat(F.lit("http://e/o"), F.col("id") % 97)).alias("o"))
+    TripleStore.empty(spark).add(many.repartition(8)).save(str(tmp_path / "snap"))
+    files = list((tmp_path / "snap").glob("pkey=*/*.parquet"))
+    assert len(files) <= 5  # not one of each input task
+    ids = [[x["id"] for x in pq.read_table(f).column("s").to_pylist()] for f in files]
+    assert all(x == sorted(x) for x in ids) and sum(map(len, ids)) == 5000
+    spans = sorted((x[0], x[-1]) for x in ids)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    again = TripleStore.from_snapshot(spark, str(tmp_path / "snap"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    for pattern_ in (("http://e/s7", "http://e/p", None), (None, "http://e/p", "http://e/o7")):
+        df = again.match(*pattern_)
+        plan_text = df._jdf.queryExecution().executedPlan().toString()
+        assert f"EqualTo({'s' if pattern_[0] else 'o'}.id," in plan_text and df.count() == (1 if pattern_[0] else 52)
+
+
+def test_patterns_run_in_order_of_selectivity(people):
+    """The constant one first, whatever the order given; columns stand as the patterns name them."""
+    df = people.bgp(("?a", "?p", "?b"), ("?b", NAME, "?n"), (EX + "eve", KNOWS, "?b"))
+    assert df.columns == ["a", "p", "b", "n"] and values(df, "a", "b", "n") == [(EX + "bob", EX + "alice", "Alice"), (EX + "eve", EX + "alice", "Alice")]
+
+
 TURTLE = """
 @prefix ex: <http://example.org/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
 PREFIX f: <http://xmlns.com/foaf/0.1/>
@@ -269,6 +349,10 @@ def test_turtle(spark, tmp_path):
     assert values(g.match(EX + "a", EX + "age", None), "o") == [("-2.5",), ("1.0e3",), ("5",), ("true",)]
     assert values(g.match(EX + "a", EX + "long", None), "o") == [('two\n"lines" ',)]
     assert g.match(None, None, EX + "q.r").count() == 1
+    from graphloom.sources import turtle
+
+    with pytest.raises(Exception, match="use N-Triples"):
+        turtle.read(spark, str(tmp_path / "t.ttl"), max_bytes=10).collect()
     (tmp_path / "bad.ttl").write_text("this is { no turtle")
     with pytest.raises(Exception, match="not Turtle"):
         TripleStore.from_turtle(spark, str(tmp_path / "bad.ttl")).size()
@@ -290,9 +374,10 @@ def test_streaming_ingest(spark, tmp_path):
 
     (tmp_path / "in").mkdir()
     for k in range(2):
-        (tmp_path / "in" / f"{k}.nt").write_text(f'<http://e/s{k}> <http://e/p> "v" .\nbroken\n')
+        (tmp_path / "in" / f"{k}.nt").write_text(f'<http://e/s{k}> <http://e/p> "v" .\nbroken\n_:a <http://e/q> _:a .\n')
         ingest(spark, str(tmp_path / "in"), str(tmp_path / "snap"), str(tmp_path / "cp")).awaitTermination()
-    assert TripleStore.from_snapshot(spark, str(tmp_path / "snap")).count(None, "http://e/p", None) == 2
+    g = TripleStore.from_snapshot(spark, str(tmp_path / "snap"))
+    assert g.count(None, "http://e/p", None) == 2 and g.bgp(("?x", "http://e/q", "?x")).select("x.lex").distinct().count() == 2
 
 
 def test_trees_stand_in(spark):
