@@ -68,14 +68,14 @@ t as (select * from (values {texts}) v(t, label, base, p, key, key_at)),
 v as (select distinct unnest(p) as word from t),
 df as (select word, count(*) as n from (select distinct doc_id, unnest(w) as word from d) join v using (word) group by word),
 idf as (select word, ln(((select count(*) from d) + 1) / (coalesce(n, 0) + 1)) + 1 as idf from v left join df using (word)),
-places as (select t, unnest(range(0, len(p))) as at, p from t),
-ranked as (select t, at, word, idf, row_number() over (partition by t order by idf desc, at) as k from (select t, at, p[at + 1] as word from places) join idf using (word)),
+places as (select t, unnest(range(0, len(p))) as spot, p from t),
+ranked as (select t, spot, word, idf, row_number() over (partition by t order by idf desc, spot) as k from (select t, spot, p[spot + 1] as word from places) join idf using (word)),
 rare as (select * from ranked where k <= {RARE}),
 weight as (select t, sum(idf) as idf, least({NEEDED}, count(*)) as need from rare group by t),
 cell as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
 begun as (select * from cell where w[i] in (select key[1] from t)),
 phrase as (select doc_id, w, t, i - 1 - key_at as start from begun join t on w[i:i + len(key) - 1] = key),
-near as (select doc_id, t, start, count(*) filter (start + at >= 0 and w[start + at + 1] = word) as n from phrase join rare using (t) group by doc_id, t, start, w),
+near as (select doc_id, t, start, count(*) filter (start + spot >= 0 and w[start + spot + 1] = word) as n from phrase join rare using (t) group by doc_id, t, start, w),
 place as (select doc_id, label, base, start, idf from near join weight using (t) join t using (t) where n >= need),
 a as (select doc_id, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
       string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, sum(idf) as idf from place group by doc_id)

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+from graphloom.llm import secrets
+
 
 def plain_components(rows, size, percent):
     sets = []
@@ -39,3 +41,23 @@ def plain_hits(text, items, size):
                     found.add(item)
     ids = ",".join(sorted(map(str, found - {None})))
     return len(w), len(hit), len(found - {None}), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
+
+
+def plain_secrets(text):
+    text, out = text or "", []
+    base = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 0, 18), ("hex", "[0-9a-f]+", 0, 0, 16)]
+    for k, (kind, pattern, flags, group, least) in enumerate(base):
+        out += [(m.start(), k, m.end(), kind) for m in re.finditer(pattern, text, flags) if len(m[group]) >= least]
+    return sorted(out)
+
+
+def plain_redact(text):
+    spans = [(m[0], m[2]) for m in plain_secrets(text)]
+    for rule in secrets.MORE_RULES:
+        spans += [m.span() for m in re.finditer(rule.regex, text or "")]
+    out, at = "", 0
+    for k, (a, b) in enumerate(sorted(spans)):
+        if k == 0 or a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return None if text is None else out + text[at:]

@@ -10,6 +10,8 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
+from plain import plain_redact, plain_secrets
+
 from graphloom.llm import licenses, secrets, sharding
 
 SCHEMA = "doc_id long, text string, key string, found int, rules string, `_` int, shard int, bucket int, others string, c0 int, words string, `a.b` int, n map<string,int>"
@@ -28,14 +30,6 @@ TEXTS = [
 ]
 
 
-def plain_secrets(text):
-    text, out = text or "", []
-    base = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 0, 18), ("hex", "[0-9a-f]+", 0, 0, 16)]
-    for k, (kind, pattern, flags, group, least) in enumerate(base):
-        out += [(m.start(), k, m.end(), kind) for m in re.finditer(pattern, text, flags) if len(m[group]) >= least]
-    return sorted(out)
-
-
 def test_secrets(spark):
     rows = secrets.secret_report(docs(spark, TEXTS)).collect()
     got = sorted((r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in rows)
@@ -60,18 +54,6 @@ def test_many_secrets_in_a_long_text(spark):
     assert masked == " ".join(["é [SECRET] [SECRET] [SECRET]"] * 20_000)
 
 
-def plain_redact(text):
-    spans = [(m[0], m[2]) for m in plain_secrets(text)]
-    for rule in secrets.MORE_RULES:
-        spans += [m.span() for m in re.finditer(rule.regex, text or "")]
-    out, at = "", 0
-    for k, (a, b) in enumerate(sorted(spans)):
-        if k == 0 or a >= at:
-            out += text[at:a] + "[SECRET]"
-        at = max(at, b)
-    return None if text is None else out + text[at:]
-
-
 def test_redact_against_plain_python(spark):
     rng = random.Random(4)
     bits = ["password=", "token: ", "deadbeefdeadbeef0", "AKIA" + "Z" * 16, " é ", "x" * 5000, "ghp_" + "b" * 36, "=", '"', "abcdefghijkl", "😀", "\n"]
