@@ -108,6 +108,13 @@ def bgp_star(g):
     return g.bgp(("?c", P + "c_name", "?name"), ("?c", P + "c_acctbal", "?bal"), ("?c", P + "c_mktsegment", "?seg")).select(lex("c"), lex("name"), num("bal"), lex("seg"))
 
 
+@query("select o_orderstatus as status, o_orderpriority as priority, count(*) as n, min(o_totalprice) as least, max(o_totalprice) as most from orders group by all")
+def bgp_star_orders(g):
+    """Four patterns with one subject, as one scan."""
+    rows = g.bgp(("?o", P + "o_orderstatus", "?status"), ("?o", P + "o_orderpriority", "?priority"), ("?o", P + "o_totalprice", "?price"), ("?o", P + "o_orderdate", "?date"))
+    return rows.groupBy(lex("status"), lex("priority")).agg(F.count("date.id").alias("n"), F.min("price.num").alias("least"), F.max("price.num").alias("most"))
+
+
 @query("select 'urn:orders:' || o_orderkey as o, c_name as name, n_name as nation from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey")
 def bgp_chain(g):
     return g.bgp(("?o", P + "o_custkey", "?c"), ("?c", P + "c_name", "?name"), ("?c", P + "c_nationkey", "?k"), ("?k", P + "n_name", "?nation")).select(lex("o"), lex("name"), lex("nation"))
