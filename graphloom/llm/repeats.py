@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 from .rolling import Rolling
 
 BYTES, WORDS = 0, 1
@@ -34,26 +34,37 @@ _PLACE = np.uint64((1 << 32) - 1)
 _SEVERAL = 0
 
 
-class WordHashes(dict):
-    """Word -> 64-bit symbol; forgets everything when it has grown large."""
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
 
-    def __missing__(self, word):
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def word_ends(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
+    blank = np.concatenate(([True], _SPACE[np.frombuffer(text, np.uint8)], [True]))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
 
-def symbols(text: bytes, unit: int, hashes: WordHashes) -> np.ndarray:
-    return np.frombuffer(text, np.uint8) if unit == BYTES else np.array(list(map(hashes.__getitem__, text.split())), np.uint64)
 
+def symbols(text: bytes, unit: int, rolling: Rolling) -> np.ndarray:
+    """The bytes, or a hash of each word."""
+    return np.frombuffer(text, np.uint8) if unit == BYTES else rolling.of(*word_ends(text))
 
-def minimizers(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def symbols_of(parts: list[bytes], unit: int) -> list[np.ndarray]:
+    if unit == BYTES:
+        return [np.frombuffer(p, np.uint8) for p in parts]
+    joined = b"\n".join(parts)
+    first, end = word_ends(joined)
+    begins = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
+    return np.split(Rolling(joined).of(first, end), np.searchsorted(first, begins[1:]))
+
+
+def minimizers(rolling: Rolling, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments of a text of ``length`` symbols or more: (first window, end of windows, minimizer hash)."""
     gram = min(gram, length)
-    h = Rolling(text).every(gram)
+    h = rolling.every(gram)
     w = length - gram + 1
-    n = len(text) - length + 1
+    n = len(rolling.sums) - length
     v = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)  # the least hash, the leftmost of equal ones
     padded = np.concatenate((v, np.full(-len(v) % w, ~np.uint64(0)))).reshape(-1, w)
     ahead = np.minimum.accumulate(padded, axis=1).ravel()
@@ -103,8 +114,6 @@ class RunIndex:
     def _suffixes(self, text: np.ndarray, inside: np.ndarray, largest: int) -> np.ndarray:
         """The suffix array, by prefix doubling of those suffixes alone that still have equals."""
         n, place = self.n, int(self.n).bit_length()
-        if 3 * place > 63:
-            raise ValueError(f"{n} symbols are too many for one index")
         bits = int(largest + 1).bit_length()
         size = min(8, (63 - place) // bits)
         key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
@@ -116,12 +125,18 @@ class RunIndex:
         packed = np.sort((key << place) | np.arange(n))
         order, key = packed & mask, packed >> place
         first = np.concatenate(([True], key[1:] != key[:-1])) | ~open_[order]
+        del padded, live, packed, key, open_
         rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         while len(slots := np.flatnonzero(~(first & np.append(first[1:], True)))):
             at = order[slots]
-            packed = np.sort((rank[at] << (2 * place)) | (rank[at + size] << place) | at)
-            at, key = packed & mask, packed >> place
+            if 3 * place < 64:  # the place goes into the sorted value, too
+                packed = np.sort((rank[at] << (2 * place)) | (rank[at + size] << place) | at)
+                at, key = packed & mask, packed >> place
+            else:
+                key = (rank[at] << place) | rank[at + size]
+                by = np.argsort(key)
+                at, key = at[by], key[by]
             new = np.concatenate(([True], key[1:] != key[:-1]))
             order[slots], first[slots] = at, new
             rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
@@ -182,25 +197,31 @@ def _cut(sizes: dict[int, int]):
     names = ["h1", "h2", "key", "lo", "hi", "width", "starts"]
 
     def run(batches):
-        hashes = WordHashes()
         out: list[list] = [[] for _ in range(6)]
         starts, counts, held = [], [], 0
         for batch in batches:
             for text, h1, h2 in zip(*(batch.column(i).cast(pa.binary() if i == 0 else pa.int64()).to_pylist() for i in range(3))):
+                if text is None or len(text) < min(sizes.values()):
+                    continue
+                rolling = Rolling(text)
                 for unit, length in sizes.items():
-                    if text is None or len(text) < length or len(s := symbols(text, unit, hashes)) < length:
+                    s = symbols(text, unit, rolling)
+                    if len(s) < length:
                         continue
-                    first, end, key = minimizers(s, length, _GRAM[unit])
+                    first, end, key = minimizers(rolling if unit == BYTES else Rolling(s), length, _GRAM[unit])
                     whole = digests(s, first, end - 1 + length, unit)
-                    _, at, inverse, n = np.unique(whole[:, 0], return_index=True, return_inverse=True, return_counts=True)
-                    if (whole[at[inverse], 1] != whole[:, 1]).any():
+                    low = whole[:, 0].tolist()
+                    at, n = np.arange(len(first)), np.ones(len(first), np.int64)
+                    if len(set(low)) < len(low):
                         _, at, inverse, n = np.unique(whole, axis=0, return_index=True, return_inverse=True, return_counts=True)
+                        starts.append(first[np.argsort(inverse.ravel(), kind="stable")])
+                    else:
+                        starts.append(first)
                     for column, values in zip(out, (np.full(len(at), h1), np.full(len(at), h2), (key[at] & ~1) | unit, whole[at, 0], whole[at, 1], (end - first)[at])):
                         column.append(values)
-                    starts.append(first[np.argsort(inverse.ravel(), kind="stable")])
                     counts.append(n)
                     held += len(first)
-                if held > 1 << 16:
+                if held > 1 << 14:
                     yield batch_of(out, starts, counts)
                     out, starts, counts, held = [[] for _ in range(6)], [], [], 0
         yield batch_of(out, starts, counts)
@@ -214,20 +235,37 @@ def _cut(sizes: dict[int, int]):
     return run
 
 
+def _structs(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Offsets and fields of a column of lists of numeric structs."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.values
+    return column.offsets.to_numpy(), {f.name: values.field(f.name).to_numpy(zero_copy_only=False) for f in values.type}
+
+
 def _fetch(sizes: dict[int, int]):
-    """The bytes of the segments that a text must hand out: of words, joined by spaces."""
+    """The bytes of the segments that a text must hand out."""
 
     def run(batches):
         for batch in batches:
-            rows, parts = [], []
-            for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                words = text.split() if any(w["key"] & 1 for w in wanted) else []
-                for w in wanted:
-                    unit, start = w["key"] & 1, w["start"]
-                    end = start + w["width"] - 1 + sizes[unit]
-                    rows.append((w["key"], w["lo"], w["hi"], w["owner"]))
-                    parts.append(b" ".join(words[start:end]) if unit == WORDS else text[start:end])
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), pa.array(parts, pa.binary())], names=["key", "lo", "hi", "owner", "part"])
+            offsets, f = _structs(batch.column(1))
+            parts: list[bytes] = []
+            size, done = 0, offsets[0]
+
+            def fetched(end: int) -> pa.RecordBatch:
+                columns = [pa.array(f[name][done:end], pa.int64()) for name in ("key", "lo", "hi", "owner", "bytes")]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], names=["key", "lo", "hi", "owner", "bytes", "part"])
+
+            for text, a, b in zip(batch.column(0).cast(pa.binary()).to_pylist(), offsets, offsets[1:]):
+                words = word_ends(text) if (f["key"][a:b] & 1).any() else None
+                for key, start, width in zip(f["key"][a:b].tolist(), f["start"][a:b].tolist(), f["width"][a:b].tolist()):
+                    end = start + width - 1 + sizes[key & 1]
+                    parts.append(text[words[0][start] : words[1][end - 1]] if key & 1 else text[start:end])
+                    size += len(parts[-1])
+                if size > 4 << 20:
+                    yield fetched(b)
+                    parts, size, done = [], 0, b
+            yield fetched(offsets[-1])
 
     return run
 
@@ -241,27 +279,27 @@ def _marks(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _match(sizes: dict[int, int], block: int):
-    """Rows sorted by key; whole keys of a unit are indexed together until a block is full."""
+    """Rows sorted by key; whole keys of a unit are indexed together while they fit a block, a larger key alone."""
 
     def run(batches):
-        hashes = WordHashes()
         held: dict[int, list] = {u: [] for u in sizes}
         size, last = dict.fromkeys(sizes, 0), None
 
         def done(unit):
             rows, held[unit], size[unit] = held[unit], [], 0
-            index = RunIndex([symbols(r[3], unit, hashes) for r in rows])
+            index = RunIndex(symbols_of([r[3] for r in rows], unit))
             found = index.long_matches(sizes[unit], np.array([r[2] for r in rows]) if unit == WORDS else None)
             return _marks([(*rows[s][:2], a, b) for s, a, b in found])
 
         for batch in batches:
-            for key, lo, hi, owner, part in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for key, lo, hi, owner, n_bytes, part in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 unit = key & 1
-                if key != last and (size[unit] >= block or len(held[unit]) > 60_000):
-                    yield done(unit)
+                if key != last:
+                    if held[unit] and size[unit] + n_bytes > block:
+                        yield done(unit)
+                    size[unit] += n_bytes
                 last = key
                 held[unit].append((lo, hi, owner, part))
-                size[unit] += len(part)
         for unit in sizes:
             if held[unit]:
                 yield done(unit)
@@ -273,11 +311,10 @@ def _windows(sizes: dict[int, int]):
     """For minimizers with very many different segments: a row for each window, to be counted by its digest."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            for key, lo, hi, owner, part in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for key, lo, hi, owner, _, part in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 unit = key & 1
-                s = symbols(part, unit, hashes)
+                s = symbols(part, unit, Rolling(part))
                 first = np.arange(len(s) - sizes[unit] + 1)
                 d = digests(s, first, first + sizes[unit], unit)
                 same = lambda x: pa.array(np.full(len(first), x))
@@ -286,14 +323,12 @@ def _windows(sizes: dict[int, int]):
     return run
 
 
-def _merged(spans) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def _merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Disjoint spans, ascending, that touch no other."""
+    by = np.argsort(lo)
+    lo, hi = lo[by], np.maximum.accumulate(hi[by]) if len(hi) else hi
+    first = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1]))) if len(lo) else by
+    return list(zip(lo[first].tolist(), hi[np.append(first[1:], len(hi)) - 1].tolist())) if len(lo) else []
 
 
 _OUT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_passage_words": pa.int64()}
@@ -303,10 +338,10 @@ def _apply(with_kept: bool):
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            offsets, f = _structs(batch.column(2))
+            for text, a, b in zip(batch.column(1).cast(pa.binary()).to_pylist(), offsets, offsets[1:]):
                 text, at, parts = text or b"", 0, []
-                gone = _merged((s["lo"], s["hi"]) for s in spans or () if s["unit"] == BYTES)
-                words = _merged((s["lo"], s["hi"]) for s in spans or () if s["unit"] == WORDS)
+                gone, words = (_merged(f["lo"][a:b][of], f["hi"][a:b][of]) for of in (f["unit"][a:b] == BYTES, f["unit"][a:b] == WORDS))
                 for a, b in gone:
                     parts.append(text[at:a])
                     at = b
@@ -321,7 +356,7 @@ def _apply(with_kept: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 51, block: int = 3 << 18, most: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 51, block: int = 1 << 20, most: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """Remove every byte that lies in a string of ``length`` bytes that starts anywhere else, too.
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words (words in passages of ``passage`` words
@@ -352,20 +387,22 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 51, block:
 
     # contents of one segment of each class whose minimizer has others
     owner = F.when(F.col("n_rows") > 1, _SEVERAL).otherwise(F.when(F.col("h1") == _SEVERAL, 1).otherwise(F.col("h1")))
-    wanted = classes.where("bytes is not null").groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "lo", "hi", "start", "width", owner.alias("owner"))).alias("wanted"))
-    fetched = keyed.join(wanted, ["h1", "h2"]).select("text", "wanted").mapInArrow(_fetch(sizes), "key long, lo long, hi long, owner long, part binary")
-    parts = fetched.groupBy("key", "lo", "hi", "owner").agg(F.first("part").alias("part"))
-    parts = staged(parts.join(classes.where("bytes is not null").select("key", "bytes").distinct(), "key"), "parts")
-    few = parts.where(F.col("bytes") <= most).select("key", "lo", "hi", "owner", "part")
+    wanted = classes.where("bytes is not null").groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "lo", "hi", "start", "width", "bytes", owner.alias("owner"))).alias("wanted"))
+    fetched = keyed.join(wanted, ["h1", "h2"]).select("text", "wanted").mapInArrow(_fetch(sizes), "key long, lo long, hi long, owner long, bytes long, part binary")
+    # rows with equal texts have all handed out the same segments
+    parts = staged(fetched.groupBy("key", "lo", "hi", "owner", "bytes").agg(F.first("part").alias("part")), "parts")
+    few = parts.where(F.col("bytes") <= most)
     marks = few.repartition("key").sortWithinPartitions("key").mapInArrow(_match(sizes, block), _MARKS)
-    many = parts.where(F.col("bytes") > most).select("key", "lo", "hi", "owner", "part")
+    many = parts.where(F.col("bytes") > most)
     windows = many.mapInArrow(_windows(sizes), "key long, lo long, hi long, owner long, w1 long, w2 long, first int")
     counted = windows.groupBy("key", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("o1"), F.max("owner").alias("o2"), F.bool_or(F.col("owner") == _SEVERAL).alias("several"))
     again = counted.where((F.col("n") > 1) & (~is_word | F.col("several") | (F.col("o1") != F.col("o2")))).select("key", "w1", "w2")
     many = windows.join(again, ["key", "w1", "w2"]).select("lo", "hi", "first", (F.col("first") + 1).alias("end"))
 
     whole = classes.where("n > 1").select("lo", "hi", F.lit(0).alias("first"), F.col("width").alias("end"))
-    spans = segments.join(whole.union(marks).union(many).distinct(), ["lo", "hi"]).select("h1", "h2", is_word.cast("int").alias("unit"), "first", "end", F.explode("starts").alias("s"))
+    found = staged(whole.union(marks).union(many).distinct(), "marks")
+    discard(classes, parts)
+    spans = segments.join(found, ["lo", "hi"]).select("h1", "h2", is_word.cast("int").alias("unit"), "first", "end", F.explode("starts").alias("s"))
     reach = F.when(F.col("unit") == WORDS, passage).otherwise(length) - 1
     spans = spans.select("h1", "h2", "unit", (F.col("s") + F.col("first")).alias("lo"), (F.col("s") + F.col("end") + reach).alias("hi")).distinct()
     marked = spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("unit", "lo", "hi")).alias("spans"))
