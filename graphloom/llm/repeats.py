@@ -388,9 +388,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 51, block:
     # contents of one segment of each class whose minimizer has others
     owner = F.when(F.col("n_rows") > 1, _SEVERAL).otherwise(F.when(F.col("h1") == _SEVERAL, 1).otherwise(F.col("h1")))
     wanted = classes.where("bytes is not null").groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "lo", "hi", "start", "width", "bytes", owner.alias("owner"))).alias("wanted"))
-    fetched = keyed.join(wanted, ["h1", "h2"]).select("text", "wanted").mapInArrow(_fetch(sizes), "key long, lo long, hi long, owner long, bytes long, part binary")
-    # rows with equal texts have all handed out the same segments
-    parts = staged(fetched.groupBy("key", "lo", "hi", "owner", "bytes").agg(F.first("part").alias("part")), "parts")
+    # equal texts are one before they are shuffled; so each segment is handed out once
+    distinct = keyed.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    fetched = distinct.join(wanted, ["h1", "h2"]).select("text", "wanted").mapInArrow(_fetch(sizes), "key long, lo long, hi long, owner long, bytes long, part binary")
+    parts = staged(fetched, "parts")
     few = parts.where(F.col("bytes") <= most)
     marks = few.repartition("key").sortWithinPartitions("key").mapInArrow(_match(sizes, block), _MARKS)
     many = parts.where(F.col("bytes") > most)
